@@ -30,6 +30,25 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back; the archives are removed once the result is in the shared folder."""
+    from . import warc
+    from ._util import cut
+
+    path = warc.archive_dir(spark)
+    warc.write_pages(_table(spark, sf_dir, "pages"), path)
+    out = cut(warc.read_pages(spark, path))
+    warc.remove(path)
+    return out
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 3, 1, 2, repeating; the mix holds 150 % of all words, no source above twice its own."""
+    from . import mixing
+
+    return mixing.per_document(*mixing.mix(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -55,3 +74,15 @@ agg AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM agg""",
 }
+SQL["op9_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_ FROM pages),
+h AS (SELECT *, sha1(payload) AS sha FROM p),
+b AS (SELECT *, string_agg_bits.bits FROM h, LATERAL (
+  SELECT string_agg(bin(CAST('0x' || sha[i] AS INTEGER) + 16)[2:], '' ORDER BY i) AS bits FROM range(1, 41) t(i)) string_agg_bits)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  (SELECT string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(
+     16 * CAST(bits[5*j+1] AS INT) + 8 * CAST(bits[5*j+2] AS INT) + 4 * CAST(bits[5*j+3] AS INT) + 2 * CAST(bits[5*j+4] AS INT) + CAST(bits[5*j+5] AS INT) + 1 AS INT)], '' ORDER BY j)
+   FROM range(0, 32) r(j)) AS payload_digest,
+  CASE WHEN page_id = first_ THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_ THEN first_ END AS refers_to
+FROM b"""
