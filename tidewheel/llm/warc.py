@@ -251,10 +251,9 @@ def register(spark: SparkSession) -> None:
 
 
 def base32(sha1_hex: Column) -> Column:
-    """Upper-case base32 of a hexadecimal SHA-1: 32 groups of 5 bits."""
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.lpad(F.conv(F.substr(sha1_hex, i, F.lit(1)), 16, 2), 4, "0")), "")
-    letter = lambda i: F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), letter(i), F.lit(1))), "")
+    """Upper-case base32 of a hexadecimal SHA-1: 40 bits at a time in radix 32, digits renamed."""
+    four = [F.lpad(F.conv(F.substring(sha1_hex, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.upper(F.concat(*four)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
