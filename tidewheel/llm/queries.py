@@ -21,6 +21,15 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(log))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of floor(256 x) for every vector whose id is divisible by 50."""
+    from . import topk
+
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * 256).cast("double")))
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
+    return topk.top_k(v, v.where("vec_id % 50 = 0"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +45,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op7_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import cap_dedup
+
+    return cap_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back; the archives are removed once the result is in the shared folder."""
     from . import warc
@@ -92,3 +107,13 @@ SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first_ THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_ THEN first_ END AS refers_to
 FROM b"""
+
+SQL["op2_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
