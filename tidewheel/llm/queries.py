@@ -45,6 +45,21 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """Fitted on labels of rows whose crc32(doc_id as text) mod 3 is not 1."""
+    from . import toxicity
+
+    labels = _table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 3 <> 1")
+    return toxicity.fit(_table(spark, sf_dir, "documents"), labels)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    scored = toxicity.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir), 0.7)
+    return scored.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 3 = 1").alias("held_out"), "score", "predicted")
+
+
 def op7_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import cap_dedup
 
