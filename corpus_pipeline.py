@@ -1,16 +1,68 @@
-"""From raw documents to token digests: five stages, each over all that the one before kept."""
+"""From raw documents to token digests: five stages, each over all that the one before kept.
+
+Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
+from tidewheel.llm._util import cut
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.7 or more go; the model learns from labels of rows whose crc32(doc_id) mod 3 is not 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("crc32(cast(doc_id as string)) % 3 <> 1")
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model, 0.7).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word n-grams at 0.8 the one with the smallest id stays; rows without id stay."""
+    joined = ngram_join.jaccard_join(docs, n=5, percent=80)
+    gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id")))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that a repeated string of 200 bytes covers go; documents stay, emptied ones too."""
+    done = suffix_dedup.remove_repeats(docs, keep_text=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return done.select(*[new.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, as often as the mix of sources draws them."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
 
-STAGES: list = []
-#: SQL cannot express the learned scores, the joins' components or the encoder in reasonable time.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokenize),
+]
+#: SQL cannot express the learned scores; stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
     return docs

@@ -72,6 +72,27 @@ def op7_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from . import licenses
+
+    text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    text = f"regexp_replace({text}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    for other, kept in licenses.SPELLINGS:
+        text = f"replace({text}, '{other}', '{kept}')"
+    text = f"trim(regexp_replace({text}, '{licenses.OTHER}', ' ', 'g'), ' ')"
+    known = ", ".join(f"('{d}', '{n}')" for d, n in licenses.digests().items())
+    return (
+        f"WITH c AS (SELECT doc_id, {text} AS canonical FROM documents), k(digest, license) AS (VALUES {known}) "
+        "SELECT doc_id, CAST(length(canonical) AS BIGINT) AS n_canonical, sha256(canonical) AS digest, license FROM c LEFT JOIN k ON k.digest = sha256(canonical)"
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back; the archives are removed once the result is in the shared folder."""
     from . import warc
@@ -138,3 +159,4 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+SQL["op8_license_scan"] = _license_sql()
