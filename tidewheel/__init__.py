@@ -1,0 +1,3 @@
+"""Tidewheel: MySQL-dialect analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"
