@@ -213,6 +213,8 @@ def _digest(context: bytes) -> bytes:
 
 def _pack(bucket: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
     """Rows sorted into buckets: the buckets, and each column's bytes for each."""
+    if not len(bucket):
+        return [], [[] for _ in columns]
     order = np.argsort(bucket, kind="stable")
     names, first = np.unique(bucket[order], return_index=True)
     ends = [*first[1:].tolist(), len(order)]
@@ -316,7 +318,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         rows = []
         by: dict[int, list] = {}
         for (h, context), n in out.items():
-            by.setdefault(int(_mix(np.array([h], np.uint64))[0] % np.uint64(n_keys)), []).append((h, context, n))
+            by.setdefault(h % n_keys, []).append((h, context, n))
         for k, xs in by.items():
             rows.append((k, 0, me, np.array([x[0] for x in xs], np.uint64).tobytes(), np.array([len(x[1]) for x in xs], np.int32).tobytes(), np.minimum([x[2] for x in xs], 255).astype(np.uint8).tobytes(), b"".join(x[1] for x in xs)))
         if split:
@@ -419,7 +421,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         marks: dict[int, list[np.ndarray]] = {}
         for doc, at, n, _, is_hot, context in contexts(texts, wanted, hot):
             if is_hot:
-                m = np.isin(_string_hashes(np.frombuffer(context, np.uint8), LENGTH), windows)
+                w = _string_hashes(np.frombuffer(context, np.uint8), LENGTH)
+                m = windows[np.minimum(np.searchsorted(windows, w), len(windows) - 1)] == w if len(windows) else np.zeros(n, bool)
             elif (bits := mask_of.get(_digest(context))) is not None:
                 m = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
             else:

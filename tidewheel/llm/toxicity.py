@@ -102,7 +102,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int
     gw, gv, gb = np.full(n, 1e-2), np.full((n, rank), 1e-2), 1e-2
     weight = np.where(y > 0, max(1.0, (1 - share) / share), 1.0)
     starts = np.searchsorted(row, np.arange(len(y) + 1))
-    for epoch in range(epochs):
+    for _ in range(max(epochs, 600 * 256 // len(y))):  # small samples get as many steps
         order = rng.permutation(len(y))
         for lo in range(0, len(order), 256):
             batch = order[lo : lo + 256]
