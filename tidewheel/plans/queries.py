@@ -279,7 +279,8 @@ def values_rows(t):
 
 # --- windows -------------------------------------------------------------------------------------
 
-_W = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+def _W():
+    return Window.partitionBy("o_custkey").orderBy("o_orderkey")
 
 
 @query("""SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, round(percent_rank() OVER v, 6) AS pr, ntile(3) OVER w AS nt, lag(o_totalprice, 2, 0.0) OVER w AS lg,
@@ -288,8 +289,8 @@ _W = Window.partitionBy("o_custkey").orderBy("o_orderkey")
 def window_functions(t):
     v = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
     return t.orders.select(
-        "o_orderkey", F.row_number().over(_W).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"), r6(windows.percent_rank(v)).alias("pr"), F.ntile(3).over(_W).alias("nt"), F.lag("o_totalprice", 2, 0.0).over(_W).alias("lg"),
-        F.lead("o_totalprice").over(_W).alias("ld"), F.first("o_orderkey").over(_W).alias("fv"), F.last("o_orderkey").over(windows.spec(_W, "rows", None, None)).alias("lv"))
+        "o_orderkey", F.row_number().over(_W()).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"), r6(windows.percent_rank(v)).alias("pr"), F.ntile(3).over(_W()).alias("nt"), F.lag("o_totalprice", 2, 0.0).over(_W()).alias("lg"),
+        F.lead("o_totalprice").over(_W()).alias("ld"), F.first("o_orderkey").over(_W()).alias("fv"), F.last("o_orderkey").over(windows.spec(_W(), "rows", None, None)).alias("lv"))
 
 
 def _bound(b: int | None, n: int, start: bool) -> str:
@@ -301,7 +302,7 @@ def _frames(kind: str) -> None:
     use = {k: v for k, v in windows.frames(n).items() if v[0] == kind}
 
     def f(t):
-        return t.orders.select("o_orderkey", *[windows.over(F.count(lit(1)), _W, *v, empty=0).cast("long").alias(f"n_{k.lower()}") for k, v in use.items()], *[windows.over(F.max("o_orderkey"), _W, *v).cast("long").alias(f"m_{k.lower()}") for k, v in use.items()])
+        return t.orders.select("o_orderkey", *[windows.over(F.count(lit(1)), _W(), *v, empty=0).cast("long").alias(f"n_{k.lower()}") for k, v in use.items()], *[windows.over(F.max("o_orderkey"), _W(), *v).cast("long").alias(f"m_{k.lower()}") for k, v in use.items()])
 
     f.__name__ = f"window_frames_{kind}"
     cells = []
@@ -330,7 +331,7 @@ def window_range_interval(t):
 
 # --- expressions -----------------------------------------------------------------------------------
 
-q, p = c("l_quantity"), c("l_extendedprice")
+q, p = lambda: c("l_quantity"), lambda: c("l_extendedprice")
 expressions("math_functions", "part", "p_partkey", {
     "f_abs": (lambda: call("abs", c("p_size") - 25), "abs(p_size - 25)"), "f_ceil": (lambda: call("ceil", c("p_retailprice")), "CAST(ceil(p_retailprice) AS BIGINT)"), "f_floor": (lambda: call("floor", c("p_retailprice")), "CAST(floor(p_retailprice) AS BIGINT)"),
     "f_sqrt": (lambda: r6(call("sqrt", c("p_size") - 10)), "CASE WHEN p_size >= 10 THEN round(sqrt(p_size - 10), 6) END"), "f_ln": (lambda: r6(call("ln", c("p_size") - 10)), "CASE WHEN p_size > 10 THEN round(ln(p_size - 10), 6) END"),
@@ -344,39 +345,39 @@ expressions("math_functions", "part", "p_partkey", {
     "f_least": (lambda: call("least", c("p_size"), lit(20), c("p_size") * 2), "least(p_size, 20, p_size * 2)"), "f_cot": (lambda: r6(call("cot", c("p_size"))), "round(cot(p_size), 6)"),
 })
 expressions("arithmetic", "lineitem", "l_orderkey", {
-    "a_div": (lambda: r6(N.divide(p, q - 10)), "CASE WHEN l_quantity <> 10 THEN round(l_extendedprice / (l_quantity - 10), 6) END"), "a_idiv": (lambda: N.int_divide(p, q - 10), "CASE WHEN l_quantity <> 10 THEN CAST(trunc(l_extendedprice / (l_quantity - 10)) AS BIGINT) END"),
+    "a_div": (lambda: r6(N.divide(p(), q() - 10)), "CASE WHEN l_quantity <> 10 THEN round(l_extendedprice / (l_quantity - 10), 6) END"), "a_idiv": (lambda: N.int_divide(p(), q() - 10), "CASE WHEN l_quantity <> 10 THEN CAST(trunc(l_extendedprice / (l_quantity - 10)) AS BIGINT) END"),
     "a_and": (lambda: N.bit_and(c("l_partkey"), lit(6)), "CAST(l_partkey & 6 AS DECIMAL(20,0))"), "a_or": (lambda: N.bit_or(c("l_partkey"), lit(6)), "CAST(l_partkey | 6 AS DECIMAL(20,0))"), "a_xor": (lambda: N.bit_xor(c("l_partkey"), lit(6)), "CAST(xor(l_partkey, 6) AS DECIMAL(20,0))"),
-    "a_not": (lambda: N.bit_not(c("l_partkey")), "CAST(18446744073709551615 - l_partkey::HUGEINT AS DECIMAL(20,0))"), "a_shl": (lambda: N.shift(c("l_partkey"), lit(3), True), "CAST(l_partkey * 8 AS DECIMAL(20,0))"), "a_lxor": (lambda: N.logical_xor(q > 20, p > 30000), "(l_quantity > 20) <> (l_extendedprice > 30000)"),
-    "a_nse": (lambda: N.null_safe_equal(F.nullif(c("l_linenumber"), lit(1)), F.nullif(c("l_linenumber"), lit(2))), "nullif(l_linenumber, 1) IS NOT DISTINCT FROM nullif(l_linenumber, 2)"), "a_case": (lambda: F.when(q > 30, "big").when(q > 10, "mid"), "CASE WHEN l_quantity > 30 THEN 'big' WHEN l_quantity > 10 THEN 'mid' END"),
-    "a_text": (lambda: number(F.concat(c("l_linenumber").cast("string"), lit("abc"))) + 1, "CAST(l_linenumber + 1 AS DOUBLE)"), "a_istrue": (lambda: F.coalesce(q > 25, lit(False)), "(l_quantity > 25) IS TRUE"), "a_cast": (lambda: p.cast("decimal(12,1)"), "CAST(l_extendedprice AS DECIMAL(12,1))"),
+    "a_not": (lambda: N.bit_not(c("l_partkey")), "CAST(18446744073709551615 - l_partkey::HUGEINT AS DECIMAL(20,0))"), "a_shl": (lambda: N.shift(c("l_partkey"), lit(3), True), "CAST(l_partkey * 8 AS DECIMAL(20,0))"), "a_lxor": (lambda: N.logical_xor(q() > 20, p() > 30000), "(l_quantity > 20) <> (l_extendedprice > 30000)"),
+    "a_nse": (lambda: N.null_safe_equal(F.nullif(c("l_linenumber"), lit(1)), F.nullif(c("l_linenumber"), lit(2))), "nullif(l_linenumber, 1) IS NOT DISTINCT FROM nullif(l_linenumber, 2)"), "a_case": (lambda: F.when(q() > 30, "big").when(q() > 10, "mid"), "CASE WHEN l_quantity > 30 THEN 'big' WHEN l_quantity > 10 THEN 'mid' END"),
+    "a_text": (lambda: number(F.concat(c("l_linenumber").cast("string"), lit("abc"))) + 1, "CAST(l_linenumber + 1 AS DOUBLE)"), "a_istrue": (lambda: F.coalesce(q() > 25, lit(False)), "(l_quantity > 25) IS TRUE"), "a_cast": (lambda: p().cast("decimal(12,1)"), "CAST(l_extendedprice AS DECIMAL(12,1))"),
 })
-n_, s_ = c("c_name"), c("c_mktsegment")
+n_, s_ = lambda: c("c_name"), lambda: c("c_mktsegment")
 expressions("string_functions", "customer", "c_custkey", {
-    "s_len": (lambda: call("length", n_), "CAST(strlen(c_name) AS INT)"), "s_chars": (lambda: call("char_length", n_), "CAST(length(c_name) AS INT)"), "s_upper": (lambda: call("upper", n_), "upper(c_name)"), "s_lower": (lambda: call("lower", s_), "lower(c_mktsegment)"), "s_concat": (lambda: call("concat", n_, "-", s_), "c_name || '-' || c_mktsegment"),
-    "s_ws": (lambda: call("concat_ws", "/", n_, F.nullif(s_, lit("BUILDING")), s_), "concat_ws('/', c_name, nullif(c_mktsegment, 'BUILDING'), c_mktsegment)"), "s_left": (lambda: call("left", n_, 4), "left(c_name, 4)"), "s_right": (lambda: call("right", n_, 4), "right(c_name, 4)"), "s_sub": (lambda: call("substring", n_, 3, 5), "substring(c_name, 3, 5)"), "s_sub0": (lambda: call("mid", n_, 0, 5), "''"),
-    "s_subneg": (lambda: call("substr", n_, -3), "right(c_name, 3)"), "s_instr": (lambda: call("instr", n_, "0"), "CAST(instr(c_name, '0') AS INT)"), "s_locate": (lambda: call("locate", "0", n_, 12), "CAST(CASE WHEN instr(substring(c_name, 12), '0') > 0 THEN instr(substring(c_name, 12), '0') + 11 ELSE 0 END AS INT)"), "s_lpad": (lambda: call("lpad", n_, 25, "*"), "lpad(c_name, 25, '*')"), "s_rpad": (lambda: call("rpad", n_, 25, "ab"), "rpad(c_name, 25, 'ab')"),
-    "s_rep": (lambda: call("repeat", s_, 2), "repeat(c_mktsegment, 2)"), "s_replace": (lambda: call("replace", n_, "Customer", "C"), "replace(c_name, 'Customer', 'C')"), "s_rev": (lambda: call("reverse", n_), "reverse(c_name)"), "s_trim": (lambda: call("trim", F.concat(lit("  "), n_, lit(" "))), "c_name"), "s_md5": (lambda: call("md5", n_), "md5(c_name)"), "s_sha": (lambda: call("sha1", n_), "sha1(c_name)"), "s_sha2": (lambda: call("sha2", n_, 256), "sha256(c_name)"),
-    "s_ascii": (lambda: call("ascii", n_), "ascii(c_name)"), "s_ord": (lambda: call("ord", n_), "CAST(ascii(c_name) AS BIGINT)"), "s_hex": (lambda: call("hex", s_), "hex(c_mktsegment)"), "s_b64": (lambda: call("to_base64", s_), "base64(encode(c_mktsegment))"), "s_idx": (lambda: call("substring_index", n_, "#", 1), "split_part(c_name, '#', 1)"), "s_insert": (lambda: call("insert", n_, 1, 4, "XX"), "'XX' || substring(c_name, 5)"),
-    "s_field": (lambda: call("field", s_, "BUILDING", "MACHINERY"), "CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END"), "s_elt": (lambda: call("elt", 2, "a", s_), "c_mktsegment"), "s_set": (lambda: call("find_in_set", s_, "AUTOMOBILE,BUILDING"), "CAST(coalesce(list_position(['AUTOMOBILE', 'BUILDING'], c_mktsegment), 0) AS INT)"), "s_cmp": (lambda: call("strcmp", s_, "FURNITURE"), "CASE WHEN c_mktsegment < 'FURNITURE' THEN -1 WHEN c_mktsegment > 'FURNITURE' THEN 1 ELSE 0 END"),
-    "s_mask": (lambda: call("make_set", 5, s_, n_, lit("z")), "c_mktsegment || ',z'"), "s_exp": (lambda: call("export_set", c("c_custkey"), "1", "0", "", 4), "reverse(right(lpad(bin(c_custkey), 64, '0'), 4))"), "s_quote": (lambda: call("quote", F.concat(s_, lit("'s"))), "'''' || c_mktsegment || '\\''s'''"), "s_like": (lambda: strings.like(n_, "%1_"), "c_name LIKE '%1_'"),
-    "s_re": (lambda: call("regexp_like", n_, "0[1-3]$"), "regexp_matches(c_name, '0[1-3]$')"), "s_resub": (lambda: call("regexp_substr", n_, "[1-9]+"), "nullif(regexp_extract(c_name, '[1-9]+'), '')"), "s_rerep": (lambda: call("regexp_replace", n_, "0+", "_"), "regexp_replace(c_name, '0+', '_', 'g')"), "s_bits": (lambda: call("bit_length", s_), "CAST(bit_length(c_mktsegment) AS INT)"), "s_crc": (lambda: call("crc32", lit("abc")), "CAST(891568578 AS BIGINT)"),
-    "s_space": (lambda: F.concat(call("space", 2), s_), "'  ' || c_mktsegment"), "s_unhex": (lambda: call("unhex", call("hex", s_)).cast("string"), "c_mktsegment"), "s_fmt": (lambda: call("format", c("c_acctbal"), 2), "format('{:,.2f}', c_acctbal)"), "s_if": (lambda: call("if", c("c_acctbal") > 0, "pos", "neg"), "CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END"), "s_nullif": (lambda: call("ifnull", call("nullif", s_, "BUILDING"), "none"), "coalesce(nullif(c_mktsegment, 'BUILDING'), 'none')"),
+    "s_len": (lambda: call("length", n_()), "CAST(strlen(c_name) AS INT)"), "s_chars": (lambda: call("char_length", n_()), "CAST(length(c_name) AS INT)"), "s_upper": (lambda: call("upper", n_()), "upper(c_name)"), "s_lower": (lambda: call("lower", s_()), "lower(c_mktsegment)"), "s_concat": (lambda: call("concat", n_(), "-", s_()), "c_name || '-' || c_mktsegment"),
+    "s_ws": (lambda: call("concat_ws", "/", n_(), F.nullif(s_(), lit("BUILDING")), s_()), "concat_ws('/', c_name, nullif(c_mktsegment, 'BUILDING'), c_mktsegment)"), "s_left": (lambda: call("left", n_(), 4), "left(c_name, 4)"), "s_right": (lambda: call("right", n_(), 4), "right(c_name, 4)"), "s_sub": (lambda: call("substring", n_(), 3, 5), "substring(c_name, 3, 5)"), "s_sub0": (lambda: call("mid", n_(), 0, 5), "''"),
+    "s_subneg": (lambda: call("substr", n_(), -3), "right(c_name, 3)"), "s_instr": (lambda: call("instr", n_(), "0"), "CAST(instr(c_name, '0') AS INT)"), "s_locate": (lambda: call("locate", "0", n_(), 12), "CAST(CASE WHEN instr(substring(c_name, 12), '0') > 0 THEN instr(substring(c_name, 12), '0') + 11 ELSE 0 END AS INT)"), "s_lpad": (lambda: call("lpad", n_(), 25, "*"), "lpad(c_name, 25, '*')"), "s_rpad": (lambda: call("rpad", n_(), 25, "ab"), "rpad(c_name, 25, 'ab')"),
+    "s_rep": (lambda: call("repeat", s_(), 2), "repeat(c_mktsegment, 2)"), "s_replace": (lambda: call("replace", n_(), "Customer", "C"), "replace(c_name, 'Customer', 'C')"), "s_rev": (lambda: call("reverse", n_()), "reverse(c_name)"), "s_trim": (lambda: call("trim", F.concat(lit("  "), n_(), lit(" "))), "c_name"), "s_md5": (lambda: call("md5", n_()), "md5(c_name)"), "s_sha": (lambda: call("sha1", n_()), "sha1(c_name)"), "s_sha2": (lambda: call("sha2", n_(), 256), "sha256(c_name)"),
+    "s_ascii": (lambda: call("ascii", n_()), "ascii(c_name)"), "s_ord": (lambda: call("ord", n_()), "CAST(ascii(c_name) AS BIGINT)"), "s_hex": (lambda: call("hex", s_()), "hex(c_mktsegment)"), "s_b64": (lambda: call("to_base64", s_()), "base64(encode(c_mktsegment))"), "s_idx": (lambda: call("substring_index", n_(), "#", 1), "split_part(c_name, '#', 1)"), "s_insert": (lambda: call("insert", n_(), 1, 4, "XX"), "'XX' || substring(c_name, 5)"),
+    "s_field": (lambda: call("field", s_(), "BUILDING", "MACHINERY"), "CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END"), "s_elt": (lambda: call("elt", 2, "a", s_()), "c_mktsegment"), "s_set": (lambda: call("find_in_set", s_(), "AUTOMOBILE,BUILDING"), "CAST(coalesce(list_position(['AUTOMOBILE', 'BUILDING'], c_mktsegment), 0) AS INT)"), "s_cmp": (lambda: call("strcmp", s_(), "FURNITURE"), "CASE WHEN c_mktsegment < 'FURNITURE' THEN -1 WHEN c_mktsegment > 'FURNITURE' THEN 1 ELSE 0 END"),
+    "s_mask": (lambda: call("make_set", 5, s_(), n_(), lit("z")), "c_mktsegment || ',z'"), "s_exp": (lambda: call("export_set", c("c_custkey"), "1", "0", "", 4), "reverse(right(lpad(bin(c_custkey), 64, '0'), 4))"), "s_quote": (lambda: call("quote", F.concat(s_(), lit("'s"))), "'''' || c_mktsegment || '\\''s'''"), "s_like": (lambda: strings.like(n_(), "%1_"), "c_name LIKE '%1_'"),
+    "s_re": (lambda: call("regexp_like", n_(), "0[1-3]$"), "regexp_matches(c_name, '0[1-3]$')"), "s_resub": (lambda: call("regexp_substr", n_(), "[1-9]+"), "nullif(regexp_extract(c_name, '[1-9]+'), '')"), "s_rerep": (lambda: call("regexp_replace", n_(), "0+", "_"), "regexp_replace(c_name, '0+', '_', 'g')"), "s_bits": (lambda: call("bit_length", s_()), "CAST(bit_length(c_mktsegment) AS INT)"), "s_crc": (lambda: call("crc32", lit("abc")), "CAST(891568578 AS BIGINT)"),
+    "s_space": (lambda: F.concat(call("space", 2), s_()), "'  ' || c_mktsegment"), "s_unhex": (lambda: call("unhex", call("hex", s_())).cast("string"), "c_mktsegment"), "s_fmt": (lambda: call("format", c("c_acctbal"), 2), "format('{:,.2f}', c_acctbal)"), "s_if": (lambda: call("if", c("c_acctbal") > 0, "pos", "neg"), "CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END"), "s_nullif": (lambda: call("ifnull", call("nullif", s_(), "BUILDING"), "none"), "coalesce(nullif(c_mktsegment, 'BUILDING'), 'none')"),
 })
-d_ = c("o_orderdate")
+d_ = lambda: c("o_orderdate")
 expressions("date_functions", "orders", "o_orderkey", {
-    "d_year": (lambda: call("year", d_), "CAST(year(o_orderdate) AS INT)"), "d_quarter": (lambda: call("quarter", d_), "CAST(quarter(o_orderdate) AS INT)"), "d_month": (lambda: call("month", d_), "CAST(month(o_orderdate) AS INT)"), "d_day": (lambda: call("dayofmonth", d_), "CAST(day(o_orderdate) AS INT)"), "d_dow": (lambda: call("dayofweek", d_), "CAST(dayofweek(o_orderdate) + 1 AS INT)"), "d_wd": (lambda: call("weekday", d_), "CAST(isodow(o_orderdate) - 1 AS INT)"),
-    "d_doy": (lambda: call("dayofyear", d_), "CAST(dayofyear(o_orderdate) AS INT)"), "d_iso": (lambda: call("weekofyear", d_), "CAST(weekofyear(o_orderdate) AS INT)"), "d_week3": (lambda: D.week_parts(d_, 3)[1], "CAST(weekofyear(o_orderdate) AS INT)"), "d_week0": (lambda: D.week_parts(d_, 0)[1], "CAST(strftime(o_orderdate, '%U') AS INT)"), "d_week5": (lambda: D.week_parts(d_, 5)[1], "CAST(strftime(o_orderdate, '%W') AS INT)"), "d_yw": (lambda: D.call_yearweek(d_, 3), "CAST(yearweek(o_orderdate) AS INT)"),
-    "d_name": (lambda: call("dayname", d_), "dayname(o_orderdate)"), "d_mname": (lambda: call("monthname", d_), "monthname(o_orderdate)"), "d_last": (lambda: call("last_day", d_), "last_day(o_orderdate)"), "d_diff": (lambda: call("datediff", d_, lit("1995-01-01").cast("date")), "CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT)"), "d_add": (lambda: D.add(d_, lit(1), "MONTH"), "o_orderdate + INTERVAL 1 MONTH"), "d_sub": (lambda: D.add(d_, lit(90), "MINUTE", -1), "o_orderdate - INTERVAL 90 MINUTE"),
-    "d_comp": (lambda: D.add(d_, lit("1 2:30:00"), "DAY_SECOND"), "o_orderdate + INTERVAL 1 DAY + INTERVAL 150 MINUTE"), "d_fmt": (lambda: D.format_date(d_, "%Y/%m/%d %H:%i:%s %W %j"), "strftime(o_orderdate, '%Y/%m/%d %H:%M:%S %A %j')"), "d_days": (lambda: call("to_days", d_), "CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 719528 AS INT)"), "d_from": (lambda: call("from_days", call("to_days", d_)), "CAST(o_orderdate AS DATE)"), "d_unix": (lambda: call("unix_timestamp", d_), "CAST(epoch(o_orderdate) AS BIGINT)"),
-    "d_tsd": (lambda: D.months_apart(d_), "CAST(datesub('month', TIMESTAMP '1992-01-15', o_orderdate) AS BIGINT)"), "d_date": (lambda: call("date", d_), "CAST(o_orderdate AS DATE)"), "d_hm": (lambda: D.call_extract("HOUR_MINUTE", d_), "CAST(hour(o_orderdate) * 100 + minute(o_orderdate) AS BIGINT)"), "d_sec": (lambda: call("time_to_sec", lit("-01:00:05")), "CAST(-3605 AS BIGINT)"), "d_tdiff": (lambda: call("timediff", lit("10:00:00"), lit("100:00:01")), "'-90:00:01'"),
-    "d_str": (lambda: D.parse(F.date_format(d_, "yyyy-MM-dd"), "%Y-%m-%d"), "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)"), "d_time": (lambda: call("sec_to_time", F.lit(3661)), "'01:01:01'"),
+    "d_year": (lambda: call("year", d_()), "CAST(year(o_orderdate) AS INT)"), "d_quarter": (lambda: call("quarter", d_()), "CAST(quarter(o_orderdate) AS INT)"), "d_month": (lambda: call("month", d_()), "CAST(month(o_orderdate) AS INT)"), "d_day": (lambda: call("dayofmonth", d_()), "CAST(day(o_orderdate) AS INT)"), "d_dow": (lambda: call("dayofweek", d_()), "CAST(dayofweek(o_orderdate) + 1 AS INT)"), "d_wd": (lambda: call("weekday", d_()), "CAST(isodow(o_orderdate) - 1 AS INT)"),
+    "d_doy": (lambda: call("dayofyear", d_()), "CAST(dayofyear(o_orderdate) AS INT)"), "d_iso": (lambda: call("weekofyear", d_()), "CAST(weekofyear(o_orderdate) AS INT)"), "d_week3": (lambda: D.week_parts(d_(), 3)[1], "CAST(weekofyear(o_orderdate) AS INT)"), "d_week0": (lambda: D.week_parts(d_(), 0)[1], "CAST(strftime(o_orderdate, '%U') AS INT)"), "d_week5": (lambda: D.week_parts(d_(), 5)[1], "CAST(strftime(o_orderdate, '%W') AS INT)"), "d_yw": (lambda: D.call_yearweek(d_(), 3), "CAST(yearweek(o_orderdate) AS INT)"),
+    "d_name": (lambda: call("dayname", d_()), "dayname(o_orderdate)"), "d_mname": (lambda: call("monthname", d_()), "monthname(o_orderdate)"), "d_last": (lambda: call("last_day", d_()), "last_day(o_orderdate)"), "d_diff": (lambda: call("datediff", d_(), lit("1995-01-01").cast("date")), "CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT)"), "d_add": (lambda: D.add(d_(), lit(1), "MONTH"), "o_orderdate + INTERVAL 1 MONTH"), "d_sub": (lambda: D.add(d_(), lit(90), "MINUTE", -1), "o_orderdate - INTERVAL 90 MINUTE"),
+    "d_comp": (lambda: D.add(d_(), lit("1 2:30:00"), "DAY_SECOND"), "o_orderdate + INTERVAL 1 DAY + INTERVAL 150 MINUTE"), "d_fmt": (lambda: D.format_date(d_(), "%Y/%m/%d %H:%i:%s %W %j"), "strftime(o_orderdate, '%Y/%m/%d %H:%M:%S %A %j')"), "d_days": (lambda: call("to_days", d_()), "CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 719528 AS INT)"), "d_from": (lambda: call("from_days", call("to_days", d_())), "CAST(o_orderdate AS DATE)"), "d_unix": (lambda: call("unix_timestamp", d_()), "CAST(epoch(o_orderdate) AS BIGINT)"),
+    "d_tsd": (lambda: D.months_apart(d_()), "CAST(datesub('month', TIMESTAMP '1992-01-15', o_orderdate) AS BIGINT)"), "d_date": (lambda: call("date", d_()), "CAST(o_orderdate AS DATE)"), "d_hm": (lambda: D.call_extract("HOUR_MINUTE", d_()), "CAST(hour(o_orderdate) * 100 + minute(o_orderdate) AS BIGINT)"), "d_sec": (lambda: call("time_to_sec", lit("-01:00:05")), "CAST(-3605 AS BIGINT)"), "d_tdiff": (lambda: call("timediff", lit("10:00:00"), lit("100:00:01")), "'-90:00:01'"),
+    "d_str": (lambda: D.parse(F.date_format(d_(), "yyyy-MM-dd"), "%Y-%m-%d"), "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)"), "d_time": (lambda: call("sec_to_time", F.lit(3661)), "'01:01:01'"),
 })
-doc_ = F.to_json(F.struct(c("n_nationkey").alias("k"), F.struct(c("n_name").alias("n"), F.array(c("n_regionkey"), lit(7)).alias("r")).alias("v")))
+doc_ = lambda: F.to_json(F.struct(c("n_nationkey").alias("k"), F.struct(c("n_name").alias("n"), F.array(c("n_regionkey"), lit(7)).alias("r")).alias("v")))
 _sqldoc = "to_json({'k': n_nationkey, 'v': {'n': n_name, 'r': [n_regionkey, 7]}})"
 expressions("json_functions", "nation", "n_nationkey", {
-    "j_ext": (lambda: call("json_extract", doc_, "$.v.r[0]"), "CAST(n_regionkey AS VARCHAR)"), "j_unq": (lambda: call("json_unquote", call("json_extract", doc_, "$.v.n")), "n_name"), "j_wild": (lambda: call("json_extract", doc_, "$.v.r[*]"), "'[' || n_regionkey || ', 7]'"), "j_len": (lambda: call("json_length", doc_), "CAST(2 AS INT)"), "j_keys": (lambda: call("json_keys", doc_, "$.v"), "'[\"n\", \"r\"]'"), "j_depth": (lambda: call("json_depth", doc_), "CAST(4 AS INT)"),
-    "j_type": (lambda: call("json_type", doc_), "'OBJECT'"), "j_valid": (lambda: call("json_valid", doc_), "true"), "j_bad": (lambda: call("json_valid", lit("{")), "false"), "j_has": (lambda: call("json_contains", doc_, "7", "$.v.r"), "true"), "j_path": (lambda: call("json_contains_path", doc_, "all", "$.k", "$.x"), "false"), "j_set": (lambda: call("json_set", lit('{"a": 1}'), "$.b", c("n_nationkey")), "'{\"a\": 1, \"b\": ' || n_nationkey || '}'"), "j_rem": (lambda: call("json_remove", lit('{"a": 1, "b": [1, 2]}'), "$.b[0]"), "'{\"a\": 1, \"b\": [2]}'"),
-    "j_merge": (lambda: call("json_merge_patch", lit('{"a": 1, "b": 2}'), lit('{"b": null, "c": 3}')), "'{\"a\": 1, \"c\": 3}'"), "j_pres": (lambda: call("json_merge_preserve", lit("[1]"), lit("2")), "'[1, 2]'"), "j_search": (lambda: call("json_search", doc_, "one", n_name := c("n_name")), "'\"$.v.n\"'"), "j_app": (lambda: call("json_array_append", lit("[1]"), "$", 2), "'[1, 2]'"), "j_ins": (lambda: call("json_array_insert", lit("[1, 3]"), "$[1]", 2), "'[1, 2, 3]'"), "j_over": (lambda: call("json_overlaps", lit("[1, 2]"), lit("[2, 5]")), "true"), "j_val": (lambda: call("json_value", doc_, "$.v.n"), "n_name"),
+    "j_ext": (lambda: call("json_extract", doc_(), "$.v.r[0]"), "CAST(n_regionkey AS VARCHAR)"), "j_unq": (lambda: call("json_unquote", call("json_extract", doc_(), "$.v.n")), "n_name"), "j_wild": (lambda: call("json_extract", doc_(), "$.v.r[*]"), "'[' || n_regionkey || ', 7]'"), "j_len": (lambda: call("json_length", doc_()), "CAST(2 AS INT)"), "j_keys": (lambda: call("json_keys", doc_(), "$.v"), "'[\"n\", \"r\"]'"), "j_depth": (lambda: call("json_depth", doc_()), "CAST(4 AS INT)"),
+    "j_type": (lambda: call("json_type", doc_()), "'OBJECT'"), "j_valid": (lambda: call("json_valid", doc_()), "true"), "j_bad": (lambda: call("json_valid", lit("{")), "false"), "j_has": (lambda: call("json_contains", doc_(), "7", "$.v.r"), "true"), "j_path": (lambda: call("json_contains_path", doc_(), "all", "$.k", "$.x"), "false"), "j_set": (lambda: call("json_set", lit('{"a": 1}'), "$.b", c("n_nationkey")), "'{\"a\": 1, \"b\": ' || n_nationkey || '}'"), "j_rem": (lambda: call("json_remove", lit('{"a": 1, "b": [1, 2]}'), "$.b[0]"), "'{\"a\": 1, \"b\": [2]}'"),
+    "j_merge": (lambda: call("json_merge_patch", lit('{"a": 1, "b": 2}'), lit('{"b": null, "c": 3}')), "'{\"a\": 1, \"c\": 3}'"), "j_pres": (lambda: call("json_merge_preserve", lit("[1]"), lit("2")), "'[1, 2]'"), "j_search": (lambda: call("json_search", doc_(), "one", n_name := c("n_name")), "'\"$.v.n\"'"), "j_app": (lambda: call("json_array_append", lit("[1]"), "$", 2), "'[1, 2]'"), "j_ins": (lambda: call("json_array_insert", lit("[1, 3]"), "$[1]", 2), "'[1, 2, 3]'"), "j_over": (lambda: call("json_overlaps", lit("[1, 2]"), lit("[2, 5]")), "true"), "j_val": (lambda: call("json_value", doc_(), "$.v.n"), "n_name"),
     "j_arr": (lambda: call("json_array", c("n_nationkey"), c("n_name"), lit(None)), "'[' || n_nationkey || ', \"' || n_name || '\", null]'"), "j_obj": (lambda: call("json_object", "k", c("n_nationkey")), "'{\"k\": ' || n_nationkey || '}'"), "j_quote": (lambda: call("json_quote", c("n_name")), "'\"' || n_name || '\"'"),
 })
 expressions("network_functions", "supplier", "s_suppkey", {
@@ -397,7 +398,7 @@ expressions("spatial_functions", "nation", "n_nationkey", {
 
 @query("""SELECT n_nationkey, i, CAST(v AS BIGINT) AS v FROM (SELECT n_nationkey, unnest([1, 2]) AS i, unnest([n_regionkey, 7]) AS v FROM nation)""")
 def json_table_rows(t):
-    return json_table.json_table(t.nation.withColumn("doc", doc_), "doc", "$.v.r[*]", [json_table.Col("i", kind="ordinality"), json_table.Col("v", "long", "$")], ["n_nationkey"])
+    return json_table.json_table(t.nation.withColumn("doc", doc_()), "doc", "$.v.r[*]", [json_table.Col("i", kind="ordinality"), json_table.Col("v", "long", "$")], ["n_nationkey"])
 
 
 @query("""SELECT e.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: power(e.embedding[i]::DOUBLE - z.embedding[i]::DOUBLE, 2))), 6) AS d FROM embeddings e, embeddings z WHERE z.vec_id = 0 ORDER BY d, e.vec_id LIMIT 10""")
