@@ -241,7 +241,7 @@ def brute_removal(rows, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [3, 64])
+@pytest.mark.parametrize("hot", [3, 256])
 def test_suffix_removal_is_exact(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(7)

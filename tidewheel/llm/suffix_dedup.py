@@ -37,7 +37,7 @@ from ._util import cut, parts
 LENGTH, GRAM, SHALLOW = 200, 64, 24
 #: Occurrences from which an anchor is split by window; bytes of text hashed at a time; anchors held before packing;
 #: bytes of a document hashed at once.
-HOT, CHUNK, FLUSH, MOST = 64, 1 << 20, 1 << 20, 1 << 24
+HOT, CHUNK, FLUSH, MOST = 256, 1 << 20, 1 << 20, 1 << 24
 
 _BYTES = np.frombuffer(hashlib.shake_128(b"byte values").digest(2048), np.uint64)
 _ODD = np.frombuffer(hashlib.shake_128(b"multipliers").digest(128), np.uint64) | np.uint64(1)
