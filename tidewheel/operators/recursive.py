@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROUNDS = 10_001
 
@@ -13,29 +16,39 @@ class RecursionLimit(RuntimeError):
     pass
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder the session names for checkpoints; a local one only where it names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            place = tempfile.mkdtemp(prefix="tidewheel-")
+            atexit.register(shutil.rmtree, place, True)
+        spark.sparkContext.setCheckpointDir(place)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint, without the constraints of its old plan (a union over them can fail to resolve)."""
+    spark, key = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
+
+
 def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = MAX_ROUNDS) -> DataFrame:
     """WITH RECURSIVE ... UNION: rows the step makes from new rows, until there are none.
 
     Each round's rows are checkpointed, so the plan doesn't grow; only whether
     there are new rows reaches the driver.
     """
-    spark = base.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import atexit
-        import shutil
-        import tempfile
-
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place:
-            place = tempfile.mkdtemp(prefix="tidewheel-")
-            atexit.register(shutil.rmtree, place, True)
-        sc.setCheckpointDir(place)
-    new = base.distinct().checkpoint()
+    checkpoint_dir(base.sparkSession)
+    new = written(base.distinct())
     done = new
     for _ in range(limit):
-        new = step(new).toDF(*base.columns).distinct().subtract(done).checkpoint()
+        new = written(step(new).toDF(*base.columns).distinct().subtract(done))
         if new.isEmpty():
             return done
-        done = done.union(new).checkpoint()
+        done = written(done.union(new))
     raise RecursionLimit(f"more than {limit} rounds")
