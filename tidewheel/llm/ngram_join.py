@@ -12,9 +12,9 @@
    with no equal filled part meets there.  This loses no pair.
 3. Classes that share keys form candidate groups (connected components).  A
    group is cut into blocks by size, blocks into pairs of blocks whose size
-   ranges can match: the banded tiles.  A tile compares hashed bitmaps, whose
-   bit counts bound the overlap from above, and then intersects sorted arrays
-   exactly.  It returns each member's number of links and a spanning forest,
+   ranges can match: the banded tiles.  A tile first compares hashed bitmaps,
+   whose bit counts bound the overlap from above; only for members that may
+   link in it do the sorted arrays travel, which are intersected exactly.  It returns each member's number of links and a spanning forest,
    never all pairs.
 4. Connected components over the forests give the result.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from ._util import connected_components, cut, parts
 
-#: Words of 64 bits in a bitmap; bounds of a tile's block.
-BITMAP_WORDS, BLOCK_ROWS, BLOCK_BYTES = 16, 128, 1 << 20
+#: Bounds of a tile's block.
+BLOCK_ROWS, BLOCK_BYTES = 128, 1 << 20
 #: Keys held before they are written out, and sizes' ratio between bands.
 FLUSH_KEYS, BAND = 1 << 20, 1.5
 
@@ -107,10 +107,30 @@ def tile_keys(s: np.ndarray, table: list, starts: np.ndarray, num: int, den: int
     return np.concatenate(out)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
-    bits[(s >> np.uint64(20)) % np.uint64(BITMAP_WORDS * 64)] = 1
-    return np.packbits(bits).view(np.uint64)
+def bitmap(s: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Hashed bitmap of a set as bytes, of at least two bits an element up to 8,192 elements."""
+    bits = bits or (1024 if len(s) <= 512 else 4096 if len(s) <= 2048 else 16384)
+    out = np.zeros(bits, np.uint8)
+    out[(s >> np.uint64(20)) % np.uint64(bits)] = 1
+    return np.packbits(out)
+
+
+def fold(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one width as rows of 64-bit words: wider ones are folded, which keeps the bound."""
+    width = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width), 0) for m in maps]).view(np.uint64)
+
+
+def _candidates(i, others, sizes, maps, num, den):
+    """Those of ``others`` whose sizes and bitmaps allow a link with ``i``."""
+    lo, hi = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+    others = others[lo * den >= hi * num]
+    if not len(others):
+        return others
+    missing = np.bitwise_count(maps[i] & ~maps[others]).sum(1, dtype=np.int64)
+    surplus = np.bitwise_count(~maps[i] & maps[others]).sum(1, dtype=np.int64)
+    bound = np.minimum(sizes[i] - missing, sizes[others] - surplus)
+    return others[bound * (den + num) >= num * (sizes[i] + sizes[others])]
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -128,6 +148,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         rows, ids, keys, owners, held = [], [], [], [], 0
+        maps: list[bytes | None] = []
         seen: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
@@ -149,10 +170,10 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         near[i] = [ids[j] for j in other.tolist() if j != i]
             cols = [*zip(*rows, strict=True)]
             out = pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(packed, pa.binary()), pa.array(near, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "keys", "near"],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(packed, pa.binary()), pa.array(near, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "keys", "near", "bitmap"],
             )
-            rows.clear(), ids.clear(), keys.clear(), owners.clear(), seen.clear()
+            rows.clear(), ids.clear(), keys.clear(), owners.clear(), seen.clear(), maps.clear()
             held = 0
             return out
 
@@ -160,7 +181,9 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py(), n, memo)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                if digest is not None and doc is not None and digest not in seen:
+                fresh = digest is not None and doc is not None and digest not in seen
+                maps.append(bitmap(s).tobytes() if fresh else None)
+                if fresh:
                     seen[digest] = doc
                     k = tile_keys(s, table, starts, num, den)
                     keys.append(k)
@@ -173,7 +196,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if rows:
             yield flush()
 
-    schema = "doc_id long, n_shingles long, digest binary, keys binary, near array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, keys binary, near array<long>, bitmap binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -247,17 +270,8 @@ def _links_in_tile(sizes, maps, arrays, weight, left, right, same, num, den):
 
     for p, i in enumerate(left):
         others = right[p + 1 :] if same else right
-        if not len(others):
-            continue
-        lo, hi = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-        others = others[lo * den >= hi * num]
-        if not len(others):
-            continue
-        missing = np.bitwise_count(maps[i] & ~maps[others]).sum(1)
-        surplus = np.bitwise_count(~maps[i] & maps[others]).sum(1)
-        bound = np.minimum(sizes[i] - missing.astype(np.int64), sizes[others] - surplus.astype(np.int64))
-        both = sizes[i] + sizes[others]
-        others = others[bound * (den + num) >= num * both]
+        if len(others):
+            others = _candidates(i, others, sizes, maps, num, den)
         if not len(others):
             continue
         a = arrays[i]
@@ -292,16 +306,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     the same text count as copies; with different texts each is compared, and
     their components are that id's.  An empty table gives no row.
 
-    Shuffles: tile keys (packed), classes by digest (partially aggregated), texts
-    of documents in candidate groups only after the join, once for each tile
-    they are in.  A group of m documents has at most about 32 blocks until a
+    Shuffles: tile keys (packed), classes by digest (partially aggregated), bitmaps
+    once for each tile, texts, and arrays for each tile in which they may link.  A group of m documents has at most about 32 blocks until a
     block is full, so a large group spreads over hundreds of tasks.
     """
     import pyarrow as pa
 
     num, den = percent, 100
     sets = cut(_sets(docs, n, num, den))
-    classes = cut(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size")))
+    classes = cut(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("bitmap", True).alias("bitmap")))
     near = sets.where("near is not null").select(F.col("doc_id").alias("a"), F.explode("near").alias("b"))
     edges = near.union(shared_keys(sets))
     # a document stands for its class
@@ -309,7 +322,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     edges = edges.union(first.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(edges)
 
-    members = classes.join(groups, F.col("rep") == F.col("node")).select("rep", "copies", "size", F.col("component").alias("grp"))
+    members = classes.join(groups, F.col("rep") == F.col("node")).select("rep", "copies", "size", "bitmap", F.col("component").alias("grp"))
     scale = np.log(den / num)
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(scale)) + 1e-9).cast("long")
     members = cut(members.withColumn("band", band))
@@ -334,7 +347,29 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         F.transform(upto(F.col("down")), lambda x: tile(here - 1, x, 1, block, F.lit(1))),
     )
     tiles = F.when(F.col("small"), F.array(tile(F.lit(0), F.lit(0), 0, F.lit(0), F.lit(0)))).otherwise(tiles)
-    m = m.select("rep", "copies", "grp", tiles.alias("tiles"))
+    keys = ["grp", "band", "i", "above", "j"]
+    spread = [F.col(f"t.{k}").alias(k) for k in keys[1:]] + [F.col("t.side").alias("side")]
+    m = m.select("rep", "copies", "size", "bitmap", "grp", F.explode(tiles).alias("t")).select("rep", "copies", "size", "bitmap", "grp", *spread)
+
+    def screen(key, table):
+        """Members of a tile that bitmaps allow a link in it; the others' arrays needn't travel."""
+        sizes, side, rep, copies = (np.array(table.column(c)) for c in ("size", "side", "rep", "copies"))
+        maps = fold([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bitmap")])
+        within, at = key[3].as_py() == 0 and key[2].as_py() == key[4].as_py(), np.arange(len(rep))
+        left, right = (at, at) if within else (at[side == 0], at[side == 1])
+        hit = np.zeros(len(rep), bool)
+        for p, i in enumerate(left):
+            others = right[p + 1 :] if within else right
+            if len(others):
+                others = _candidates(i, others, sizes, maps, num, den)
+                hit[others] = True
+                hit[i] |= len(others) > 0
+        n_hit = int(hit.sum())
+        cols = [pa.array(rep[hit], pa.int64()), pa.array(copies[hit], pa.int64()), *[pa.array([k.as_py()] * n_hit, pa.int64() if x < 2 else pa.int32()) for x, k in enumerate(key)], pa.array(side[hit], pa.int32())]
+        return pa.table(cols, ["rep", "copies", *keys, "side"])
+
+    m = m.groupBy(*keys).applyInArrow(screen, "rep long, copies long, grp long, band long, i int, above int, j int, side int")
+    m = m.groupBy("rep", "copies", "grp").agg(F.collect_list(F.struct("band", "i", "above", "j", "side")).alias("tiles"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     m = texts.join(m.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "copies", "grp", "tiles")
 
@@ -357,7 +392,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         u, keep = np.unique(np.array(ids), return_index=True)  # a doc_id that the table repeats is one member
         ids, arrays, weight, side = u, [arrays[x] for x in keep], np.array(weight)[keep], np.array(side)[keep]
         sizes = np.array([len(x) for x in arrays])
-        maps = np.stack([bitmap(x) for x in arrays])
+        maps = fold([bitmap(x) for x in arrays])
         at = np.arange(len(ids))
         within = key[3].as_py() == 0 and key[2].as_py() == key[4].as_py()
         left, right = (at, at) if within else (at[side == 0], at[side == 1])
