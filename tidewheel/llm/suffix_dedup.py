@@ -190,23 +190,33 @@ def repeated_suffixes(data: bytes, starts: np.ndarray) -> np.ndarray:
             return out
     # deep: a blind trie a group
     ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
-    a = 0
-    for e in ends.tolist():
+    sizes = np.diff(np.append(0, ends))
+    # a trie of two is one comparison, made for all such groups at once
+    first = ends[sizes == 2] - 2
+    x, y = starts[order[first]], starts[order[first + 1]]
+    for depth in range(SHALLOW, LENGTH, 8):
+        same = word[x + depth] == word[y + depth]
+        first, x, y = first[same], x[same], y[same]
+    out[order[first]] = out[order[first + 1]] = True
+    for a, e in zip((ends - sizes)[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
         members = order[a:e].tolist()
         strings = [data[s + SHALLOW : s + LENGTH] for s in starts[order[a:e]].tolist()]
-        if len(members) == 2:
-            if strings[0] == strings[1]:
-                out[members] = True
-        else:
-            trie = BlindTrie(strings)
-            for i, m in enumerate(members):
-                same = trie.insert(i)
-                if same is not None:
-                    out[m] = out[members[same]] = True
-        a = e
+        trie = BlindTrie(strings)
+        for i, m in enumerate(members):
+            equal = trie.insert(i)
+            if equal is not None:
+                out[m] = out[members[equal]] = True
     return out
 
 
+def _window_hashes(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of many contexts, and how many each has."""
+    n = np.array([len(x) - LENGTH + 1 for x in contexts])
+    ends = np.cumsum(n + LENGTH - 1)
+    h = _string_hashes(np.frombuffer(b"".join(contexts), np.uint8), LENGTH)
+    return h[np.repeat(ends - np.cumsum(n) - (LENGTH - 1), n) + np.arange(n.sum())], n
+
+
 def _digest(context: bytes) -> bytes:
     return hashlib.blake2b(context, digest_size=16).digest()
 
@@ -312,7 +322,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         me = int((left if left.num_rows else right).column("bucket")[0].as_py())
         for _, _, _, h, is_hot, context in contexts(right.column("data").to_pylist() if right.num_rows else [], wanted, hot):
             if is_hot:
-                split.append(_string_hashes(np.frombuffer(context, np.uint8), LENGTH))
+                split.append(context)
             else:
                 out[h, context] = out.get((h, context), 0) + 1
         rows = []
@@ -322,7 +332,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         for k, xs in by.items():
             rows.append((k, 0, me, np.array([x[0] for x in xs], np.uint64).tobytes(), np.array([len(x[1]) for x in xs], np.int32).tobytes(), np.minimum([x[2] for x in xs], 255).astype(np.uint8).tobytes(), b"".join(x[1] for x in xs)))
         if split:
-            w, n = np.unique(np.concatenate(split), return_counts=True)
+            w, n = np.unique(_window_hashes(split)[0], return_counts=True)
             names, (a, b) = _pack((_mix(w) % np.uint64(n_keys)).astype(np.int64), w, np.minimum(n, 255).astype(np.uint8))
             rows += [(k, 1, me, x, None, y, None) for k, x, y in zip(names, a, b, strict=True)]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -357,11 +367,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 x[0] += n
                 x[1].append(buckets[i])
                 at += size
-        # suffixes of anchors with one distinct context need no sorting; the others' are sorted together
+        # anchors with one distinct context, or whose contexts all repeat whole, need no sorting; the others' suffixes are sorted together
         several: dict[int, int] = {}
-        for h, _ in seen:
+        single: set[int] = set()
+        for (h, _), (n, _) in seen.items():
             several[h] = several.get(h, 0) + 1
-        todo = [x for x in seen if several[x[0]] > 1]
+            if n < 2:
+                single.add(h)
+        todo = [x for x in seen if several[x[0]] > 1 and x[0] in single]
         masks = {x: np.full(len(x[1]) - LENGTH + 1, v[0] >= 2) for x, v in seen.items()}
         lo = 0
         todo.sort(key=lambda x: x[0])
@@ -419,16 +432,20 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         wanted, hot, windows = wanted[order], hot[order], np.unique(np.concatenate(windows))
         texts = right.column("data").to_pylist()
         marks: dict[int, list[np.ndarray]] = {}
+        split: list[tuple[int, int, bytes]] = []
         for doc, at, n, _, is_hot, context in contexts(texts, wanted, hot):
             if is_hot:
-                w = _string_hashes(np.frombuffer(context, np.uint8), LENGTH)
-                m = windows[np.minimum(np.searchsorted(windows, w), len(windows) - 1)] == w if len(windows) else np.zeros(n, bool)
-            elif (bits := mask_of.get(_digest(context))) is not None:
-                m = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-            else:
+                split.append((doc, at, context))
                 continue
-            if m.any():
+            if (bits := mask_of.get(_digest(context))) is not None:
+                m = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
                 marks.setdefault(doc, []).append(at + np.flatnonzero(m))
+        if split and len(windows):
+            w, n = _window_hashes([x[2] for x in split])
+            m = windows[np.minimum(np.searchsorted(windows, w), len(windows) - 1)] == w
+            for (doc, at, _), e, size in zip(split, np.cumsum(n).tolist(), n.tolist(), strict=True):
+                if m[e - size : e].any():
+                    marks.setdefault(doc, []).append(at + np.flatnonzero(m[e - size : e]))
         n_bytes, removed, spans, sha, kept = [], [], [], [], []
         for i, text in enumerate(texts):
             n_bytes.append(len(text))
