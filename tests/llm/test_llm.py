@@ -308,6 +308,20 @@ def test_cap_links(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("directions", [1 << 18, 65**4, 1 << 27])
+def test_cap_recall_holds_with_the_number_of_directions(directions):
+    """Pairs at cosine 0.9 share a cap at any size of the table."""
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.9**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    words, lists = cap_dedup.plan(directions, 24.0, 2)
+    code = cap_dedup.Code(64, words, 2, lists, 29)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(y), strict=True)]
+    assert np.mean(met) >= 0.94
+
+
 # --- 8 -------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,10 @@ cosine in double precision.
 The threshold is set so that a random vector is in ``lists`` caps on average; a
 vector far from all directions lowers its own until it is in that many.  A pair
 of cosine 0.9 meets in about half of the caps that either is in.
-The number of directions grows with the table, so caps keep their size.
+The number of directions grows with the table, so caps keep their size, and the
+caps a vector is in grow slowly with it, so recall does.  The code has the same
+number of blocks at every size: with more, smaller blocks a vector's caps differ
+in one block only and aren't independent filters.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from ._util import connected_components, cut
 
 BLOCK = 256
+#: Directions of small tables, and inner products with words held at once.
+LEAST, CELLS = 1 << 18, 1 << 22
 
 
 class Code:
@@ -41,7 +46,8 @@ class Code:
             c = rng.standard_normal((words, b - a))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True))
         x = rng.standard_normal((400, dim))
-        sums = self.best_sums(self.scores(x / np.linalg.norm(x, axis=1, keepdims=True)), int(lists * 4))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sums = np.concatenate([self.best_sums(self.scores(x[at]), int(lists * 4)) for at in self.chunks(len(x))])
         self.least, self.threshold = int(lists), float(np.sort(sums.ravel())[-int(min(400 * lists, sums.size))])
 
     @staticmethod
@@ -55,12 +61,20 @@ class Code:
                 sums = -np.partition(-sums, k - 1, 1)[:, :k]
         return sums
 
+    def chunks(self, n: int) -> list[slice]:
+        """Stretches of ``n`` rows whose scores are at most ``CELLS`` a block."""
+        step = max(1, CELLS // self.words)
+        return [slice(i, i + step) for i in range(0, n, step)]
+
     def scores(self, unit: np.ndarray) -> list[np.ndarray]:
         y = unit @ self.turn
         return [y[:, a:b] @ c.T for (a, b), c in zip(self.spans, self.codes, strict=True)]
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """Sorted ids of the directions above the threshold, for each row; a row with few lowers its own to get ``least``."""
+        return [ids for at in self.chunks(len(unit)) for ids in self._decode(unit[at])]
+
+    def _decode(self, unit: np.ndarray) -> list[np.ndarray]:
         scores = self.scores(unit)
         threshold = np.minimum(self.threshold, self.best_sums(scores, self.least).min(1))
         best = np.stack([s.max(1) for s in scores])
@@ -89,6 +103,15 @@ def _code(*key) -> Code:
     return _CODES[key]
 
 
+def plan(directions: int, lists: float, blocks: int) -> tuple[int, float]:
+    """Words a block, and caps a vector.
+
+    A cap of a pair at cosine 0.9 is shared with probability directions ** -0.053
+    if directions are independent; the exponent is larger here, as measured.
+    """
+    return int(np.ceil(directions ** (1 / blocks))), lists * max(1.0, directions / LEAST) ** (1 / 12)
+
+
 def _tile(x: np.ndarray, lists: list[np.ndarray], cap: int, left: np.ndarray, right: np.ndarray, within: bool, least: float) -> np.ndarray:
     """Symmetric link matrix of a tile; a pair that already meets in a smaller cap is left to that one."""
     n = len(x)
@@ -146,9 +169,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: float = 24.0
 
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     n = v.count()
-    directions = max(1 << 18, 4 * n)
-    m = blocks if directions <= 1 << 24 else 2 * blocks
-    words = int(np.ceil(directions ** (1 / m)))
+    words, caps_each = plan(max(LEAST, 4 * n), lists, blocks)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +190,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: float = 24.0
                 if not len(at):
                     continue
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for i, u, f in zip(at.tolist(), x, _code(d, words, m, lists, seed).decode(x), strict=True):
+                for i, u, f in zip(at.tolist(), x, _code(d, words, blocks, caps_each, seed).decode(x), strict=True):
                     unit[i], caps[i] = u.tobytes(), f + (d << 44)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, pa.binary()), pa.array(caps, pa.list_(pa.int64()))], ["vec_id", "unit", "caps"])
 
