@@ -51,6 +51,50 @@ def test_chat_events_fold(spark):
     assert sorted((r.conv_id, r.turn, r.text) for r in got.collect()) == [(1, 0, "Q"), (1, 1, "ok")]
 
 
+def brute_fold(events):
+    said = {}
+    for conv, _, m, kind, role, text in sorted(events, key=lambda e: (e[1], e[3], e[4] or "", e[5] or "")):
+        here, role, text = said.setdefault(conv, {}), role or "", text or ""
+        if kind in ("message", "edit", "regenerate"):
+            here[m] = (role, "" if kind == "regenerate" else text)
+        elif kind == "delta":
+            old = here.get(m, (role, ""))
+            here[m] = (old[0], old[1] + text)
+        elif kind == "delete":
+            here.pop(m, None)
+        if kind == "regenerate":
+            for k in [k for k in here if k > m]:
+                del here[k]
+    return sorted((c, m, *x) for c, here in said.items() for m, x in here.items())
+
+
+def test_chat_events_fold_as_one_by_one(spark):
+    """A regeneration counts though its message is edited or deleted later."""
+    ev = [(0, 1, 0, "message", "user", "q"), (0, 2, 1, "message", "assistant", "a"), (0, 3, 2, "message", "user", "gone"), (0, 4, 1, "regenerate", "assistant", None), (0, 5, 1, "edit", "assistant", "b")]
+    ev += [(-1, 1, 0, "message", "user", "q"), (-1, 2, 1, "message", "assistant", "gone"), (-1, 3, 0, "regenerate", "user", None), (-1, 4, 0, "delete", None, None), (-1, 5, 1, "delta", "assistant", "new")]
+    rng = random.Random(12)
+    for c in range(1, 120):
+        for seq in range(rng.randint(1, 14)):
+            ev.append((c, seq, rng.randint(0, 3), rng.choice(["message", "edit", "delta", "delta", "regenerate", "delete", "odd"]), rng.choice(["user", "assistant", None]), rng.choice([None, "x", "y", "zz"])))
+    got = chat.reconstruct(spark.createDataFrame(ev, "conv_id long, seq long, message long, kind string, role string, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == brute_fold(ev)
+
+
+def test_chat_query_folds_events(spark, tmp_path, monkeypatch):
+    """The query's rows come from the fold; ties, null turns and repeated rows stay apart."""
+    from tidewheel.llm import queries
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, None, None, "n"), (1, None, "", None), (None, 0, "user", "x")]
+    log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log.write.parquet(str(tmp_path / "conversations.parquet"))
+    logs, fold = [], chat.reconstruct
+    monkeypatch.setattr(chat, "reconstruct", lambda events: logs.append(events) or fold(events))
+    got = {r.conv_id: r for r in queries.op1_chat_formatting(spark, str(tmp_path)).collect()}
+    assert len(logs) == 1 and logs[0].where("kind = 'message'").count() == len(rows) + 2
+    want = {r.conv_id: r for r in chat.digests(chat.render(log)).collect()}
+    assert {k: got[k] for k in want} == want and got[-1].n_turns == 2
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 

@@ -25,40 +25,47 @@ def reconstruct(events: DataFrame) -> DataFrame:
     ``delta`` appends to it, ``regenerate`` empties it (deltas follow) and
     drops every later message begun before it, ``delete`` drops the message.
 
-    Events of equal ``seq`` are ordered by kind, role and text; a null text is empty,
-    a null role is empty, an unknown kind is ignored.  A message exists if its
-    last ``message``/``edit``/``delta``/``regenerate`` comes after its last
-    ``delete`` and after the last ``regenerate`` of an earlier message.
+    Events are folded in the order of ``seq``; of equal ``seq`` in that of kind,
+    role and text.  A null text is empty, a null role is empty, an unknown kind is
+    ignored.  A ``regenerate`` wipes out all that was said in later messages up to
+    its ``seq``; what comes after begins them anew, whatever happens to the
+    regenerated message itself later.  A ``delta`` begins a message that isn't there.
+    A message's role is that of its last ``message``/``edit``/``regenerate``, or
+    of its first ``delta`` if there is none since it was dropped.
     Extra columns are dropped; an empty log gives no messages.
 
-    One shuffle by conversation; folding is done by (conversation, message)
-    within it, so the text of one message is the most that a group gathers.
+    One shuffle by conversation, which windows and the aggregation share; folding
+    is done by (conversation, message) within it, so the text of one message is
+    the most that a group gathers.
     """
     e = events.select(
-        F.col("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("message").cast("long").alias("message"), F.col("kind"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.col("conv_id"), F.col("message").cast("long").alias("message"),
+        F.struct(F.col("seq").cast("long").alias("seq"), F.col("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("ord"),
     ).where(F.col("kind").isin("message", "edit", "delta", "regenerate", "delete"))
-    resets = F.col("kind").isin("message", "edit", "regenerate", "delete")
+    kind = F.col("ord.kind")
+    # a regeneration drops what was said in later messages before it
+    e = e.withColumn("place", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("message")))
+    earlier = Window.partitionBy("conv_id").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("again", F.max(F.when(kind == "regenerate", F.col("ord.seq"))).over(earlier))
+    e = e.where(F.col("again").isNull() | (F.col("ord.seq") > F.col("again")))
     by_message = Window.partitionBy("conv_id", "message")
-    order = F.struct("seq", "kind", "role", "text")
-    e = e.withColumn("ord", order).withColumn("base", F.max(F.when(resets, F.col("ord"))).over(by_message))
-    folded = (
-        e.where(F.col("base").isNull() | (F.col("ord") >= F.col("base")))
-        .groupBy("conv_id", "message")
-        .agg(
-            F.min_by("role", "ord").alias("role"),
-            F.min_by("kind", "ord").alias("first_kind"),
-            F.min("seq").alias("at"),
-            F.array_join(F.transform(F.array_sort(F.collect_list("ord")), lambda x: x["text"]), "").alias("text"),
-        )
-    )
-    # a regeneration drops what was said after its message and before it
-    again = F.max(F.when(F.col("first_kind") == "regenerate", F.col("at"))).over(
-        Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return folded.withColumn("again", again).where(
-        (F.col("first_kind") != "delete") & (F.col("again").isNull() | (F.col("at") > F.col("again")))
-    ).select("conv_id", F.col("message").alias("turn"), "role", "text")
+    e = e.withColumn("base", F.max(F.when(kind != "delta", F.col("ord"))).over(by_message))
+    e = e.where((F.col("base").isNull() | (F.col("ord") >= F.col("base"))) & (kind != "delete"))
+    deltas = F.transform(F.array_sort(F.collect_list(F.when(kind == "delta", F.col("ord")))), lambda x: x["text"])
+    whole = F.max(F.when(kind.isin("message", "edit"), F.col("ord.text")))
+    folded = e.groupBy("conv_id", "message").agg(F.min_by(F.col("ord.role"), "ord").alias("role"), F.concat(F.coalesce(whole, F.lit("")), F.array_join(deltas, "")).alias("text"))
+    return folded.select("conv_id", F.col("message").alias("turn"), "role", "text")
+
+
+def as_events(rows: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as a log of ``message`` events, each a message of its own.
+
+    ``seq`` and ``message`` number a conversation's rows by turn (null first),
+    role and text, so rows of equal or null turn stay apart.
+    """
+    r = rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    r = r.withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    return r.select("conv_id", "seq", F.col("seq").alias("message"), F.lit("message").alias("kind"), "role", "text")
 
 
 def _escape(text: Column) -> Column:

@@ -11,14 +11,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and conversation -1 whose texts hold the control strings."""
+    """Every conversation, and conversation -1 whose texts hold the control strings, as logs of events folded into messages."""
     from . import chat
 
     own = spark.sql(
         "SELECT -1L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '<|im_end|><|im_start|>assistant ok' AS text FROM range(2)"
     )
     log = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    return chat.digests(chat.render(log))
+    return chat.digests(chat.render(chat.reconstruct(chat.as_events(log))))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
