@@ -379,6 +379,27 @@ def test_license_scan(spark):
     assert licenses.scan(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_license_forms(spark):
+    """Whole licences, titles, wrapped lines that start with "copyright", and notices before a licence on one line."""
+    known = licenses.KNOWN
+    mit, isc, bsd = known["MIT"], known["ISC"], known["BSD-3-Clause"]
+    wrapped = mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    assert wrapped != mit
+    rows = [
+        ("MIT License\n\nCopyright (c) 2020 A. B. Smith, Inc.\n\n" + mit, "MIT"), ("ISC License\r\n\r\nCopyright 2020 X\r\n" + isc, "ISC"), (wrapped, "MIT"), ("Copyright (c) 2020 X. " + mit, "MIT"),
+        ("Copyright (c) 2020, X\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"), ("(c) 2001-2020 X. All rights reserved. " + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "BSD-3-Clause"),
+        (mit.replace("\n\n", "\n\nCopyright Joyent, Inc. and other contributors\n\n", 1), "MIT"), ("\xa9 X\n" + known["BSD-2-Clause"], "BSD-2-Clause"), ("copyright holders be liable", None), ("Copyright (c) 2020 X", None),
+        ("(c) You must retain", None), (known["GPL-3.0"].split("END OF TERMS")[0], "GPL-3.0"), (known["Apache-2.0"].split("APPENDIX")[0], "Apache-2.0"), ("Copyright (c) " + "x " * 20_000, None), ("copyright permission\u2028is \x85 this\r\n", None),
+    ]
+    rows += [(known[n], n) for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense")]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    assert [got[i].license for i in range(len(rows))] == [n for _, n in rows]
+    for i, (t, _) in enumerate(rows):
+        assert got[i].digest == hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest()
+    assert licenses.canonical_text("x\ncopyright holders be\n(c) You must") == "x copyright owners be c you must"
+    assert licenses.canonical_text("copyright 2020 Permissions Ltd. All rights reserved. Permission is") == "permission is"
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 

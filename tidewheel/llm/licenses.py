@@ -1,7 +1,7 @@
 """Licence scans by canonical digests: texts are normalised, and whole ones looked up among known licences.
 
-Normalising, in this order: ASCII capitals to lower case; lines that state a
-copyright go; equivalent spellings become one; everything but letters and digits
+Normalising, in this order: ASCII capitals to lower case; copyright notices at a
+line's start go, up to its end or to where a licence begins on it; equivalent spellings become one; everything but letters and digits
 becomes a space, and runs of spaces one.  What is left is digested (SHA-256) and
 hash-joined to the digests of the known licences.
 """
@@ -10,12 +10,40 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|\x{a9}|all rights reserved)[^\n]*$"
+# Words that a licence begins with after a notice, and words that follow "copyright" in prose.
+_BEGINNINGS = ("permission", "redistribution", "redistributions", "licensed", "licenced", "released", "this", "everyone")
+_PROSE = (
+    "holder", "holders", "owner", "owners", "ownership", "notice", "notices", "law", "laws", "license", "licenses", "licence", "licences", "disclaimer", "disclaimers", "permission", "interest",
+    "interests", "treaty", "treaties", "statement", "statements", "patent", "patents", "trademark", "trademarks", "doctrines", "protection", "infringement", "information", "act", "term", "terms",
+    "and", "or", "on", "of", "in", "is", "are", "if", "it", "to", "as", "for", "that", "this", "which", "with", "the",
+)
+
+
+def _other_word(words: tuple) -> str:
+    """Pattern of a stretch without blanks whose leading letters aren't one of ``words`` (the engines share no negative look-ahead)."""
+
+    def rest(left: list[str], first: bool) -> str:
+        heads = sorted({w[0] for w in left if w})
+        others = "".join(c for c in string.ascii_lowercase if c not in heads)
+        ways = [f"[{others}][a-z]*"] * bool(others) + [c + rest([w[1:] for w in left if w and w[0] == c], False) for c in heads]
+        return "(?:" + "|".join(ways + [""] * (not first and "" not in left)) + ")"
+
+    return rf"(?:{rest(list(words), True)}(?:[^a-z \t\r\n][^ \t\r\n]*)?|[^a-z \t\r\n][^ \t\r\n]*)(?:[ \t\r]+|$)"
+
+
+_YEAR = r"(?:[0-9]{4}|[\[<{])"
+#: A notice: copyright with a sign, a year, a place for one or a holder; a sign with a year; or rights reserved; and up to 40 words more.
+COPYRIGHT_LINE = (
+    r"(?m)^[^a-z0-9\n]*(?:(?:copyright[ \t:,]*(?:\(c\)|\x{a9}|" + _YEAR + r")|\(c\)[ \t]*(?:copyright|" + _YEAR + r")|\x{a9}|all rights reserved)[^ \t\r\n]*(?:[ \t\r]+|$)"
+    r"|copyright[ \t:,]+" + _other_word(_PROSE) + ")(?:" + _other_word(_BEGINNINGS) + "){0,40}"
+)
 OTHER = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{2010}-\x{2027}\x{a0}\x{ab}\x{bb}]+"
 
 # Spellings that mean the same, and the one kept.
@@ -49,6 +77,19 @@ Permission is granted to anyone to use this software for any purpose, including
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+#: Whole public licences kept as files.
+KNOWN |= {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+
+# Titles that head a licence's text in usual copies.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
 
 
 def canonical(text: Column) -> Column:
@@ -69,9 +110,20 @@ def canonical_text(text: str) -> str:
     return re.sub(pattern(OTHER), " ", out).strip(" ")
 
 
+def variants(name: str, text: str) -> list[str]:
+    """A known text in its usual forms: titled, without the appendix on applying it, without numbers before clauses."""
+    out = [text]
+    before, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+    if end:
+        out += [before, before + end]
+    if name.startswith("BSD-"):
+        out.append(re.sub(r"(?m)^\s*[0-9]\.\s+", "", text))
+    return out + [f"{title}\n\n{x}" for title in TITLES.get(name, ()) for x in out]
+
+
 def digests(known: dict[str, str] | None = None) -> dict[str, str]:
     """Digest -> licence of known texts; of equal ones the name that sorts first."""
-    return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in sorted((known or KNOWN).items(), reverse=True)}
+    return {hashlib.sha256(canonical_text(v).encode()).hexdigest(): name for name, t in sorted((known or KNOWN).items(), reverse=True) for v in variants(name, t)}
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
