@@ -214,6 +214,18 @@ def test_jaccard_join_edges(spark):
     assert ngram_join.jaccard_join(d.limit(0)).count() == 0
 
 
+def test_jaccard_join_compares_each_text_of_an_id(spark):
+    """Both texts under one id link, whatever order they arrive in."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a + " x"), (7, a), (7, b), (9, b + " x"), (11, c), (7, b), (3, "alone")]
+    want = [(3, 3, 0), (5, 5, 1), (7, 5, 1), (7, 5, 2), (7, 5, 2), (9, 5, 2), (11, 11, 0)]
+    for order in (rows, rows[::-1]):
+        got = ngram_join.jaccard_join(documents(spark, order).coalesce(1)).collect()
+        assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == want
+    apart = ngram_join.jaccard_join(documents(spark, rows), by_text=True).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in apart) == [(3, 3, 0), (5, 5, 1), (7, 5, 1), (7, 7, 2), (7, 7, 2), (9, 7, 2), (11, 11, 0)]
+
+
 def test_tile_keys_lose_no_pair():
     """Any two sets at the threshold share a key."""
     rng = np.random.default_rng(5)

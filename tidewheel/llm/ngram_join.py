@@ -69,6 +69,26 @@ def shingles(text: str | None, n: int, memo: WordHashes) -> np.ndarray:
     return np.unique(_mix(out + np.uint64(size)))
 
 
+def set_digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def with_digests(docs: DataFrame, n: int = 5) -> DataFrame:
+    """``docs`` with ``set_digest``, the digest of each text's set, null if that is empty.  Narrow."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            found = [set_digest(shingles(x.as_py(), n, memo)) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*docs.columns, "set_digest"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("set_digest", T.BinaryType())]))
+
+
 def most_apart(a: int, b: int, num: int, den: int) -> int:
     """Largest symmetric difference of sets of ``a`` and ``b`` elements with Jaccard similarity ``num / den`` or more."""
     return (den - num) * (a + b) // (den + num)
@@ -180,7 +200,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py(), n, memo)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                digest = set_digest(s)
                 fresh = digest is not None and doc is not None and digest not in seen
                 maps.append(bitmap(s).tobytes() if fresh else None)
                 if fresh:
@@ -292,7 +312,7 @@ def _links_in_tile(sizes, maps, arrays, weight, left, right, same, num, den):
     return counts, forest
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
     """Link documents whose sets of word n-grams have Jaccard similarity ``percent / 100`` or more.
 
     ``docs``: doc_id, text; other columns are not read.  Returns ``doc_id``,
@@ -306,6 +326,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     the same text count as copies; with different texts each is compared, and
     their components are that id's.  An empty table gives no row.
 
+    ``by_text``: texts that share only an id don't join components; ``digest`` of
+    the set and a number ``component`` are added (null for rows without), as
+    several components may then have the same smallest id.
+
     Shuffles: tile keys (packed), classes by digest (partially aggregated), bitmaps
     once for each tile, texts, and arrays for each tile in which they may link.  A group of m documents has at most about 32 blocks until a
     block is full, so a large group spreads over hundreds of tasks.
@@ -315,6 +339,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     num, den = percent, 100
     sets = cut(_sets(docs, n, num, den))
     classes = cut(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("bitmap", True).alias("bitmap")))
+    classes = classes.withColumn("cls", F.monotonically_increasing_id())
     near = sets.where("near is not null").select(F.col("doc_id").alias("a"), F.explode("near").alias("b"))
     edges = near.union(shared_keys(sets))
     # a document stands for its class
@@ -322,7 +347,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     edges = edges.union(first.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(edges)
 
-    members = classes.join(groups, F.col("rep") == F.col("node")).select("rep", "copies", "size", "bitmap", F.col("component").alias("grp"))
+    members = classes.join(groups, F.col("rep") == F.col("node")).select("cls", "digest", "rep", "copies", "size", "bitmap", F.col("component").alias("grp"))
     scale = np.log(den / num)
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(scale)) + 1e-9).cast("long")
     members = cut(members.withColumn("band", band))
@@ -349,15 +374,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     tiles = F.when(F.col("small"), F.array(tile(F.lit(0), F.lit(0), 0, F.lit(0), F.lit(0)))).otherwise(tiles)
     keys = ["grp", "band", "i", "above", "j"]
     spread = [F.col(f"t.{k}").alias(k) for k in keys[1:]] + [F.col("t.side").alias("side")]
-    m = m.select("rep", "copies", "size", "bitmap", "grp", F.explode(tiles).alias("t")).select("rep", "copies", "size", "bitmap", "grp", *spread)
+    own = ["cls", "digest", "rep", "copies"]
+    m = m.select(*own, "size", "bitmap", "grp", F.explode(tiles).alias("t")).select(*own, "size", "bitmap", "grp", *spread)
 
     def screen(key, table):
         """Members of a tile that bitmaps allow a link in it; the others' arrays needn't travel."""
-        sizes, side, rep, copies = (np.array(table.column(c)) for c in ("size", "side", "rep", "copies"))
+        sizes, side = (np.array(table.column(c)) for c in ("size", "side"))
         maps = fold([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bitmap")])
-        within, at = key[3].as_py() == 0 and key[2].as_py() == key[4].as_py(), np.arange(len(rep))
+        within, at = key[3].as_py() == 0 and key[2].as_py() == key[4].as_py(), np.arange(len(sizes))
         left, right = (at, at) if within else (at[side == 0], at[side == 1])
-        hit = np.zeros(len(rep), bool)
+        hit = np.zeros(len(sizes), bool)
         for p, i in enumerate(left):
             others = right[p + 1 :] if within else right
             if len(others):
@@ -365,31 +391,33 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 hit[others] = True
                 hit[i] |= len(others) > 0
         n_hit = int(hit.sum())
-        cols = [pa.array(rep[hit], pa.int64()), pa.array(copies[hit], pa.int64()), *[pa.array([k.as_py()] * n_hit, pa.int64() if x < 2 else pa.int32()) for x, k in enumerate(key)], pa.array(side[hit], pa.int32())]
-        return pa.table(cols, ["rep", "copies", *keys, "side"])
+        cols = [*[table.column(c).filter(pa.array(hit)) for c in own], *[pa.array([k.as_py()] * n_hit, pa.int64() if x < 2 else pa.int32()) for x, k in enumerate(key)], pa.array(side[hit], pa.int32())]
+        return pa.table(cols, [*own, *keys, "side"])
 
-    m = m.groupBy(*keys).applyInArrow(screen, "rep long, copies long, grp long, band long, i int, above int, j int, side int")
-    m = m.groupBy("rep", "copies", "grp").agg(F.collect_list(F.struct("band", "i", "above", "j", "side")).alias("tiles"))
+    m = m.groupBy(*keys).applyInArrow(screen, "cls long, digest binary, rep long, copies long, grp long, band long, i int, above int, j int, side int")
+    m = m.groupBy(*own, "grp").agg(F.collect_list(F.struct("band", "i", "above", "j", "side")).alias("tiles"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    m = texts.join(m.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "copies", "grp", "tiles")
+    m = texts.join(m.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("cls", "text", "copies", "grp", "tiles", "digest")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            docs_, arrays, copies, grp, tiles_ = [], [], [], [], []
-            for doc, text, c, g, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                docs_.append(doc), arrays.append(shingles(text.as_py(), n, memo).tobytes()), copies.append(c), grp.append(g), tiles_.append(t.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(arrays, pa.binary()), pa.array(copies, pa.int64()), pa.array(grp, pa.int64()), pa.array(tiles_, batch.column(4).type)], ["doc_id", "array", "copies", "grp", "tiles"])
+            cls, arrays, copies, grp, tiles_ = [], [], [], [], []
+            for c, text, k, g, t, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                x = shingles(text.as_py(), n, memo)
+                if set_digest(x) == digest:  # another text of the same id is of another class
+                    cls.append(c), arrays.append(x.tobytes()), copies.append(k), grp.append(g), tiles_.append(t.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(arrays, pa.binary()), pa.array(copies, pa.int64()), pa.array(grp, pa.int64()), pa.array(tiles_, batch.column(4).type)], ["cls", "array", "copies", "grp", "tiles"])
 
     kind = "array<struct<band:bigint,i:int,above:int,j:int,side:int>>"
-    m = m.mapInArrow(prepare, f"doc_id long, array binary, copies long, grp long, tiles {kind}")
-    m = m.select("doc_id", "array", "copies", "grp", F.explode("tiles").alias("t"))
-    m = m.select("doc_id", "array", "copies", "grp", F.col("t.band").alias("band"), F.col("t.i").alias("i"), F.col("t.above").alias("above"), F.col("t.j").alias("j"), F.col("t.side").alias("side"))
+    m = m.mapInArrow(prepare, f"cls long, array binary, copies long, grp long, tiles {kind}")
+    m = m.select("cls", "array", "copies", "grp", F.explode("tiles").alias("t"))
+    m = m.select("cls", "array", "copies", "grp", F.col("t.band").alias("band"), F.col("t.i").alias("i"), F.col("t.above").alias("above"), F.col("t.j").alias("j"), F.col("t.side").alias("side"))
 
     def compare(key, table):
-        ids, weight, side = (table.column(c).to_pylist() for c in ("doc_id", "copies", "side"))
+        ids, weight, side = (table.column(c).to_pylist() for c in ("cls", "copies", "side"))
         arrays = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("array")]
-        u, keep = np.unique(np.array(ids), return_index=True)  # a doc_id that the table repeats is one member
+        u, keep = np.unique(np.array(ids), return_index=True)  # rows of one id and set are one member
         ids, arrays, weight, side = u, [arrays[x] for x in keep], np.array(weight)[keep], np.array(side)[keep]
         sizes = np.array([len(x) for x in arrays])
         maps = fold([bitmap(x) for x in arrays])
@@ -400,13 +428,28 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         got = np.flatnonzero(counts)
         a, b = [ids[x] for x, _ in forest], [ids[y] for _, y in forest]
         return pa.table(
-            [pa.array([*ids[got].tolist(), *map(int, a)], pa.int64()), pa.array([*counts[got].tolist(), *[0] * len(a)], pa.int64()), pa.array([*[None] * len(got), *map(int, b)], pa.int64())], ["doc_id", "links", "partner"]
+            [pa.array([*ids[got].tolist(), *map(int, a)], pa.int64()), pa.array([*counts[got].tolist(), *[0] * len(a)], pa.int64()), pa.array([*[None] * len(got), *map(int, b)], pa.int64())], ["cls", "links", "partner"]
         )
 
-    found = cut(m.groupBy("grp", "band", "i", "above", "j").applyInArrow(compare, "doc_id long, links long, partner long"))
-    linked = found.groupBy("doc_id").agg(F.sum("links").alias("links")).withColumnRenamed("doc_id", "l_rep")
-    comps = connected_components(found.where("partner is not null").select(F.col("doc_id").alias("a"), F.col("partner").alias("b")))
-    of_class = classes.join(linked, F.col("rep") == F.col("l_rep"), "left").join(comps, F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select(F.col("digest").alias("c_digest"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, F.col("digest") == F.col("c_digest"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = cut(m.groupBy("grp", "band", "i", "above", "j").applyInArrow(compare, "cls long, links long, partner long"))
+    linked = found.groupBy("cls").agg(F.sum("links").alias("links")).withColumnRenamed("cls", "l_cls")
+    edges = found.where("partner is not null").select(F.col("cls").alias("a"), F.col("partner").alias("b"))
+    of_row = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    if not by_text:
+        mark = F.xxhash64("digest")
+        several = cut(of_row.where("digest is not null").groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("s_doc_id")))
+        if not several.isEmpty():  # classes that share an id
+            held = of_row.where("digest is not null").join(several, F.col("doc_id") == F.col("s_doc_id")).join(classes.select(F.col("digest").alias("c_digest"), "cls"), F.col("digest") == F.col("c_digest"))
+            held = cut(held.select("doc_id", "cls").distinct())
+            least = held.groupBy("doc_id").agg(F.min("cls").alias("b")).withColumnRenamed("doc_id", "m_doc_id")
+            edges = edges.union(held.join(least, F.col("doc_id") == F.col("m_doc_id")).select(F.col("cls").alias("a"), "b"))
+    comps = connected_components(edges)
+    named = comps.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("smallest")).withColumnRenamed("component", "n_component")
+    comps = comps.join(named, F.col("component") == F.col("n_component")).select("node", "component", "smallest")
+    of_class = classes.join(linked, F.col("cls") == F.col("l_cls"), "left").join(comps, F.col("cls") == F.col("node"), "left")
+    of_class = of_class.select(
+        F.col("digest").alias("c_digest"), F.coalesce("smallest", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")
+    )
+    out = of_row.join(of_class, F.col("digest") == F.col("c_digest"), "left")
+    more = ["digest", "component"] if by_text else []
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
