@@ -6,7 +6,7 @@ Every stage but the last returns the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
@@ -21,15 +21,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word n-grams at 0.8 the one with the smallest id stays; rows without id stay."""
-    joined = ngram_join.jaccard_join(docs, n=5, percent=80)
-    gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Of texts linked by five-word n-grams at 0.8 one row of the smallest id stays; rows without id or words stay."""
+    joined = ngram_join.jaccard_join(docs, n=5, percent=80, by_text=True)
     again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id")))
     if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)
+        gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+        return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    # ids repeat: rows are told apart by id and digest
+    best = joined.where("doc_id is not null and digest is not null").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
+    marked = ngram_join.with_digests(docs, n=5)
+    words = F.col("doc_id").isNotNull() & F.col("set_digest").isNotNull()
+    one = marked.where(words).join(best, (F.col("doc_id") == F.col("best_id")) & (F.col("set_digest") == F.col("best_digest")), "left_semi")
+    one = one.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "set_digest").orderBy("text"))).where("_k = 1")
+    return marked.where(~words).select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

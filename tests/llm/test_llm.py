@@ -521,6 +521,17 @@ def test_pipeline_order():
     assert [n.split()[0] for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram", "suffix-array", "mixing", "byte-level"]
 
 
+def test_pipeline_keeps_differing_texts_of_an_id(spark):
+    """One row of each group of near copies stays; other texts under the same id are left alone."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (7, a + " x"), (7, b), (7, b), (7, c), (8, c + " x"), (9, ""), (9, ""), (None, a)]
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.keep_one_of_each_group(spark, documents(spark, order), "")
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, a), (5, a), (7, b), (7, c), (9, ""), (9, "")]
+
+
 def test_pipeline_runs(spark, tmp_path):
     import corpus_pipeline
 

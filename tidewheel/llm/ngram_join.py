@@ -78,13 +78,13 @@ def with_digests(docs: DataFrame, n: int = 5) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, "set_digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             found = [set_digest(shingles(x.as_py(), n, memo)) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*docs.columns, "set_digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("set_digest", T.BinaryType())]))
 
