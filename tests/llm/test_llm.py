@@ -515,6 +515,19 @@ def test_mixed_documents(spark):
     assert {r.source: r.n for r in got} == {"a": 40, "b": 20}
 
 
+def test_mixed_documents_stand_in_shuffled_shards(spark):
+    """The draw's shards are together, and each is in the order of its places."""
+    d = documents(spark, [(i, "w " * 10, "ab"[i % 2]) for i in range(200)])
+    blocks, _ = mixing.mix(d, 4, None)
+    want = {}
+    for x in sorted(mixing.draws(blocks).collect(), key=lambda x: (x.shard, x.place)):
+        want.setdefault(x.shard, []).append(x.doc_id)
+    got = [r.doc_id for r in mixing.mixed_documents(d, 4).collect()]
+    where = {k: next(i for i in range(len(got)) if got[i : i + len(v)] == v) for k, v in want.items()}
+    assert len(want) == 4 and sorted(where.values()) == sorted(set(where.values())) and sum(map(len, want.values())) == len(got) == 300
+    assert all(v != sorted(v) for v in want.values())
+
+
 def test_pipeline_order():
     import corpus_pipeline
 

@@ -185,14 +185,17 @@ def mixed_documents(docs: DataFrame, shards: int = 16, weights: tuple = WEIGHTS,
     """The mix as documents: whole ones, in their columns, repeated as often as drawn (same cases as :func:`mix`).
 
     Copies are drawn by (doc_id, source, size); repeated rows of a document share
-    what was drawn for any of them evenly by rank.
+    what was drawn for any of them evenly by rank.  Rows come shard by shard, each
+    shard in the order of ``place``: one more shuffle, by shard, and a local sort.
     """
     blocks, sources = mix(docs, shards, None, weights, share, cap, seed)
-    taken = draws(blocks, seed).groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("n")).join(sources.select("sid", "source"), "sid")
-    taken = taken.select(F.col("doc_id").alias("t_doc_id"), F.col("source").alias("t_source"), "n")
+    drawn = F.sort_array(F.collect_list(F.struct("shard", "place", "copy"))).alias("t_draws")
+    taken = draws(blocks, seed).groupBy("doc_id", "sid").agg(drawn).join(sources.select("sid", "source"), "sid")
+    taken = taken.select(F.col("doc_id").alias("t_doc_id"), F.col("source").alias("t_source"), "t_draws")
     kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("source").eqNullSafe(F.col("t_source")))
     same = Window.partitionBy("doc_id", "source").orderBy("text")
-    kept = kept.withColumn("_place", F.row_number().over(same)).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "source")))
-    times = (F.col("n") / F.col("_rows")).cast("int") + (F.col("_place") <= F.col("n") % F.col("_rows")).cast("int")
-    kept = kept.withColumn("_times", times).where("_times > 0")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    kept = kept.withColumn("_rank", F.row_number().over(same) - 1).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "source")))
+    own = F.filter("t_draws", lambda x, i: i % F.col("_rows") == F.col("_rank"))
+    kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(own).alias("_draw"))
+    kept = kept.repartition(F.col("_draw.shard")).sortWithinPartitions("_draw.shard", "_draw.place", "doc_id", "text")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
