@@ -10,12 +10,16 @@
    edge, for the band below.  A part that is empty on both sides is no help; a
    set that fills at most ``k`` parts emits its empty ones too, and then a pair
    with no equal filled part meets there.  This loses no pair.
-3. Classes that share keys form candidate groups (connected components).  A
-   group is cut into blocks by size, blocks into pairs of blocks whose size
-   ranges can match: the banded tiles.  A tile first compares hashed bitmaps,
-   whose bit counts bound the overlap from above; only for members that may
-   link in it do the sorted arrays travel, which are intersected exactly.  It returns each member's number of links and a spanning forest,
-   never all pairs.
+3. A pair that may link has ``n - k`` of the ``n`` parts in common, so a class
+   that shares fewer filled parts than that with all others together is out;
+   one common passage or line doesn't carry a class over this bound.  Of the
+   rest, classes that share keys form candidate groups (connected components).
+   A group is cut into blocks by size, so that members with the same smallest
+   key lie together; a tile is a pair of blocks whose size ranges can match and
+   that have a key in common.  A tile first compares hashed bitmaps, whose bit
+   counts bound the overlap from above; only for members that may link in it do
+   the sorted arrays travel, which are intersected exactly.  It returns each
+   member's number of links and a spanning forest, never all pairs.
 4. Connected components over the forests give the result.
 
 Hashes are 64 bits wide: two different n-grams fall together with probability
@@ -28,7 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import connected_components, cut, parts
@@ -105,10 +109,10 @@ def bands(num: int, den: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def tile_keys(s: np.ndarray, table: list, starts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of one set: any two sets as similar as asked share one."""
+def keys_by_band(s: np.ndarray, table: list, starts: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
+    """For the set's own band and those of smaller partners: keys, and how many of them a linked partner has at least."""
     if not len(s):
-        return np.empty(0, np.uint64)
+        return []
     own = int(np.searchsorted(starts, len(s), "right")) - 1
     out = []
     # as the larger of a pair it also meets a smaller partner's band
@@ -120,11 +124,18 @@ def tile_keys(s: np.ndarray, table: list, starts: np.ndarray, num: int, den: int
         order = np.argsort(part, kind="stable")
         filled, first = np.unique(part[order], return_index=True)
         sums = np.add.reduceat(_mix(s[order] ^ np.uint64(0x5851F42D4C957F2D)), first)
+        largest = len(s) * den // num if b == own else table[b + 1][0] - 1
+        least = max(1, len(filled) - min(k, most_apart(len(s), largest, num, den)))
         if len(filled) <= k:
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), filled)
             filled, sums = np.concatenate([filled, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(_mix(sums + _mix(filled + np.uint64(b << 40))))
-    return np.concatenate(out)
+        out.append((_mix(sums + _mix(filled + np.uint64(b << 40))), least))
+    return out
+
+
+def tile_keys(s: np.ndarray, table: list, starts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of one set: any two sets as similar as asked share one."""
+    return np.concatenate([np.empty(0, np.uint64), *[k for k, _ in keys_by_band(s, table, starts, num, den)]])
 
 
 def bitmap(s: np.ndarray, bits: int | None = None) -> np.ndarray:
@@ -153,12 +164,18 @@ def _candidates(i, others, sizes, maps, num, den):
     return others[bound * (den + num) >= num * (sizes[i] + sizes[others])]
 
 
-def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, digest, and packed keys for the first holder of each set within a stretch of rows.
+#: Low bits of a packed key: the slot (how many bands below the set's own, 3 at most), and whether its stretch has it twice.
+SLOT, TWICE = 3, 4
+
 
-    A key that another set of the stretch has brought already is dropped for a
-    local edge (``near``) to that set's document: a very common key leaves at
-    most a row a stretch.
+def _sets(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+    """doc_id, n_shingles, digest, and for the first holder of each set within a stretch of rows its packed keys.
+
+    A packed key is (bucket of the hash space, 32 bits of hash, low bits); two
+    that fall together only make a needless candidate.  A key that several sets
+    of the stretch have is known to be shared: each has it in ``shared`` and the
+    first alone passes it on, so a very common key leaves a row a stretch.
+    ``least``: by slot, how many keys a linked partner has in common.
     """
     import pyarrow as pa
 
@@ -167,33 +184,33 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        rows, ids, keys, owners, held = [], [], [], [], 0
-        maps: list[bytes | None] = []
-        seen: dict[bytes, int] = {}
+        rows, keys, owners, slots, held = [], [], [], [], 0
+        seen: set[bytes] = set()
 
         def flush() -> pa.RecordBatch:
             nonlocal held
-            packed, near = [None] * len(rows), [None] * len(rows)
+            packed, shared = [None] * len(rows), [None] * len(rows)
             if keys:
-                k, o = np.concatenate(keys), np.concatenate(owners)
-                u, first, inv = np.unique(k, return_index=True, return_inverse=True)
-                head = o[first][inv]
+                k, o, low = np.concatenate(keys), np.concatenate(owners), np.concatenate(slots)
+                _, first, inv, times = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
+                twice = times[inv] > 1
                 main = np.zeros(len(k), bool)
                 main[first] = True
+                kid = (_mix(k) % np.uint64(buckets)) << np.uint64(32) | k & np.uint64(0xFFFFFFFF)
+                full = kid << np.uint64(3) | np.where(twice, np.uint64(TWICE), np.uint64(0)) | low
                 pos = np.searchsorted(o, np.arange(len(rows) + 1))
-                for i in range(len(rows)):
-                    a, b = pos[i], pos[i + 1]
-                    if a < b:
-                        m = main[a:b]
-                        packed[i] = k[a:b][m].tobytes()
-                        other = np.unique(head[a:b][~m])
-                        near[i] = [ids[j] for j in other.tolist() if j != i]
+                for i in np.unique(o).tolist():
+                    at = slice(pos[i], pos[i + 1])
+                    packed[i] = full[at][main[at]].tobytes()
+                    if twice[at].any():
+                        shared[i] = full[at][twice[at]].tobytes()
             cols = [*zip(*rows, strict=True)]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
             out = pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(packed, pa.binary()), pa.array(near, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "keys", "near", "bitmap"],
+                [*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], pa.array(packed, pa.binary()), pa.array(shared, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "mark", "least", "bitmap", "keys", "shared"],
             )
-            rows.clear(), ids.clear(), keys.clear(), owners.clear(), seen.clear(), maps.clear()
+            rows.clear(), keys.clear(), owners.clear(), slots.clear(), seen.clear()
             held = 0
             return out
 
@@ -201,59 +218,58 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py(), n, memo)
                 digest = set_digest(s)
-                fresh = digest is not None and doc is not None and digest not in seen
-                maps.append(bitmap(s).tobytes() if fresh else None)
-                if fresh:
-                    seen[digest] = doc
-                    k = tile_keys(s, table, starts, num, den)
-                    keys.append(k)
-                    owners.append(np.full(len(k), len(rows), np.int64))
-                    held += len(k)
-                rows.append((doc, len(s), digest))
-                ids.append(doc)
+                if digest is None or doc is None or digest in seen:
+                    rows.append((doc, len(s), digest, None, None, None))
+                else:
+                    seen.add(digest)
+                    by_band = keys_by_band(s, table, starts, num, den)
+                    least = [0] * (SLOT + 1)
+                    for b, (k, m) in enumerate(by_band):
+                        least[min(b, SLOT)] = min(least[SLOT] or m, m) if b > SLOT else m
+                        keys.append(k)
+                        owners.append(np.full(len(k), len(rows), np.int64))
+                        slots.append(np.full(len(k), min(b, SLOT), np.uint64))
+                        held += len(k)
+                    rows.append((doc, len(s), digest, int.from_bytes(digest[:8], "little", signed=True), least, bitmap(s).tobytes()))
                 if held > FLUSH_KEYS or len(rows) >= 1 << 16:
                     yield flush()
         if rows:
             yield flush()
 
-    schema = "doc_id long, n_shingles long, digest binary, keys binary, near array<long>, bitmap binary"
+    schema = "doc_id long, n_shingles long, digest binary, mark long, least array<int>, bitmap binary, keys binary, shared binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """``doc_id`` with packed 64-bit ``keys`` -> edges (a, b): each document to the smallest one that has the same key.
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """(mark, key): the packed keys of each set that another set has, too.  ``mark`` is 64 bits of a set's digest.
 
-    Keys travel packed: a row a task and bucket of the hash space, not a row a key.
+    Keys travel packed, a row a task and bucket of the hash space.
     """
     import pyarrow as pa
 
-    buckets = parts(keyed.sparkSession, 4)
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, keys = 0, [], []
+        held, marks, keys = 0, [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal held
             k = np.concatenate(keys)
-            d = np.repeat(np.array(docs, np.int64), [len(x) for x in keys])
-            where = _mix(k) % np.uint64(buckets)
+            m = np.repeat(np.array(marks, np.int64), [len(x) for x in keys])
+            where = k >> np.uint64(35)
             order = np.argsort(where, kind="stable")
             w, first = np.unique(where[order], return_index=True)
             ends = [*first[1:].tolist(), len(k)]
-            k, d = k[order], d[order]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(w.astype(np.int64)), pa.array([k[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()), pa.array([d[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())],
-                ["bucket", "keys", "docs"],
-            )
-            docs.clear(), keys.clear()
+            low, k, m = (k[order] & np.uint64(7)).astype(np.uint8), (k[order] >> np.uint64(3)).astype(np.uint32), m[order]
+            at = [*zip(first.tolist(), ends, strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), *[pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (k, low, m)]], ["bucket", "keys", "low", "marks"])
+            marks.clear(), keys.clear()
             held = 0
             return out
 
         for batch in batches:
-            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for mark, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 k = np.frombuffer(packed.as_py(), np.uint64)
                 if len(k):
-                    docs.append(doc)
+                    marks.append(mark)
                     keys.append(k)
                     held += len(k)
                 if held > FLUSH_KEYS:
@@ -261,19 +277,48 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    def match(table):
-        k = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-        d = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        head = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-        pairs = np.unique(np.stack([d, head])[:, d != head], axis=1)
-        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    def match(key, table):
+        k, low, m = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("keys", np.uint32), ("low", np.uint8), ("marks", np.int64)))
+        order = np.lexsort((low, m, k))
+        k, low, m = k[order], low[order], m[order]
+        key_first = np.concatenate([[True], k[1:] != k[:-1]])
+        pair_first = key_first | np.concatenate([[True], m[1:] != m[:-1]])
+        group = np.cumsum(key_first) - 1
+        several = np.bincount(group, pair_first)[group] > 1
+        keep = pair_first & several & (low < TWICE)
+        x = (np.uint64(key[0].as_py()) << np.uint64(32) | k[keep].astype(np.uint64)) << np.uint64(2) | low[keep].astype(np.uint64)
+        return pa.table([pa.array(m[keep]), pa.array(x.astype(np.int64))], ["mark", "key"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
+            if found:
+                x = np.concatenate(found)
+                x = x >> np.uint64(3) << np.uint64(2) | x & np.uint64(3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(f) for f in found])), pa.array(x.astype(np.int64))], ["mark", "key"])
+
+    packed = sets.where("keys is not null").select("mark", "keys").mapInArrow(pack, "bucket long, keys binary, low binary, marks binary")
+    across = packed.groupBy("bucket").applyInArrow(match, "mark long, key long")
+    return sets.where("shared is not null").select("mark", "shared").mapInArrow(own, "mark long, key long").union(across)
+
 
-    packed = keyed.where("keys is not null").select("doc_id", "keys").mapInArrow(pack, "bucket long, keys binary, docs binary")
-    return packed.groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
+def candidate_keys(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(mark, key) without slots, for those sets that share so many keys of a band that they may link there."""
+    per = shared.withColumn("slot", F.col("key").bitwiseAND(SLOT).cast("int")).repartition("mark").groupBy("mark", "slot").agg(F.collect_set("key").alias("keys"))
+    least = classes.select(F.col("mark").alias("c_mark"), F.posexplode("least").alias("c_slot", "c_least"))
+    per = per.join(least, (F.col("mark") == F.col("c_mark")) & (F.col("slot") == F.col("c_slot"))).where(F.size("keys") >= F.col("c_least"))
+    return per.select("mark", F.explode("keys").alias("key")).select("mark", F.shiftright("key", 2).alias("key")).distinct()
+
+
+def key_edges(keys: DataFrame, spread: int) -> DataFrame:
+    """Edges (a, b) that connect the sets of each key: to the smallest of a salted share of them, and from there to the smallest of all."""
+    salt = F.pmod(F.xxhash64("mark"), F.lit(spread))
+    near = keys.withColumn("salt", salt)
+    near = near.withColumn("head", F.min("mark").over(Window.partitionBy("key", "salt")))
+    heads = near.groupBy("key", "salt").agg(F.min("mark").alias("head"))
+    heads = heads.withColumn("top", F.min("head").over(Window.partitionBy("key")))
+    edges = near.select(F.col("mark").alias("a"), F.col("head").alias("b")).union(heads.select(F.col("head").alias("a"), F.col("top").alias("b")))
+    return edges.where("a <> b").distinct()
 
 
 def _links_in_tile(sizes, maps, arrays, weight, left, right, same, num, den):
@@ -337,17 +382,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
     import pyarrow as pa
 
     num, den = percent, 100
-    sets = cut(_sets(docs, n, num, den))
-    classes = cut(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("bitmap", True).alias("bitmap")))
+    sets = cut(_sets(docs, n, num, den, parts(docs.sparkSession, 4)))
+    classes = sets.where("digest is not null and doc_id is not null").groupBy("digest")
+    classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), *[F.first(c, True).alias(c) for c in ("mark", "least", "bitmap")]))
     classes = classes.withColumn("cls", F.monotonically_increasing_id())
-    near = sets.where("near is not null").select(F.col("doc_id").alias("a"), F.explode("near").alias("b"))
-    edges = near.union(shared_keys(sets))
-    # a document stands for its class
-    first = sets.where("keys is not null").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
-    edges = edges.union(first.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    groups = connected_components(edges)
-
-    members = classes.join(groups, F.col("rep") == F.col("node")).select("cls", "digest", "rep", "copies", "size", "bitmap", F.col("component").alias("grp"))
+    common = cut(candidate_keys(shared_keys(sets), classes))
+    groups = connected_components(key_edges(common, parts(docs.sparkSession)))
+
+    members = classes.join(groups, F.col("mark") == F.col("node")).select("cls", "mark", "digest", "rep", "copies", "size", "bitmap", F.col("component").alias("grp"))
     scale = np.log(den / num)
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(scale)) + 1e-9).cast("long")
     members = cut(members.withColumn("band", band))
@@ -356,26 +398,31 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
     counts = counts.join(totals, F.col("grp") == F.col("t_grp")).where("total > 1")
     small = (F.col("total") <= BLOCK_ROWS) & (F.col("total_bytes") <= BLOCK_BYTES)
     blocks = F.greatest(F.ceil(F.col("bytes") / (64 * BLOCK_BYTES)), F.ceil(F.col("n") / (64 * BLOCK_ROWS)), F.least(F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(32)))
-    counts = counts.select("grp", "band", small.alias("small"), blocks.cast("int").alias("blocks"))
-    above = counts.select(F.col("grp").alias("u_grp"), (F.col("band") - 1).alias("u_band"), F.col("blocks").alias("blocks_above"))
-    below = counts.select(F.col("grp").alias("d_grp"), (F.col("band") + 1).alias("d_band"), F.col("blocks").alias("blocks_below"))
-    plan = counts.join(above, (F.col("grp") == F.col("u_grp")) & (F.col("band") == F.col("u_band")), "left").join(below, (F.col("grp") == F.col("d_grp")) & (F.col("band") == F.col("d_band")), "left")
-    plan = plan.select(F.col("grp").alias("p_grp"), F.col("band").alias("p_band"), "small", "blocks", F.coalesce("blocks_above", F.lit(0)).alias("up"), F.coalesce("blocks_below", F.lit(0)).alias("down"))
-    m = members.join(plan, (F.col("grp") == F.col("p_grp")) & (F.col("band") == F.col("p_band")))
-    m = m.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tile = lambda band, i, above, j, side: F.struct(band.cast("long").alias("band"), i.cast("int").alias("i"), F.lit(above).alias("above"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-    block, here = F.col("block"), F.col("band")
-    tiles = F.concat(
-        F.transform(upto(F.col("blocks")), lambda x: tile(here, F.least(block, x), 0, F.greatest(block, x), (x < block).cast("int"))),
-        F.transform(upto(F.col("up")), lambda x: tile(here, block, 1, x, F.lit(0))),
-        F.transform(upto(F.col("down")), lambda x: tile(here - 1, x, 1, block, F.lit(1))),
-    )
-    tiles = F.when(F.col("small"), F.array(tile(F.lit(0), F.lit(0), 0, F.lit(0), F.lit(0)))).otherwise(tiles)
-    keys = ["grp", "band", "i", "above", "j"]
-    spread = [F.col(f"t.{k}").alias(k) for k in keys[1:]] + [F.col("t.side").alias("side")]
+    plan = counts.select(F.col("grp").alias("p_grp"), F.col("band").alias("p_band"), small.alias("small"), blocks.cast("int").alias("blocks"), F.col("n").alias("in_band"))
+    m = members.join(plan, (F.col("grp") == F.col("p_grp")) & (F.col("band") == F.col("p_band"))).drop("p_grp", "p_band")
     own = ["cls", "digest", "rep", "copies"]
-    m = m.select(*own, "size", "bitmap", "grp", F.explode(tiles).alias("t")).select(*own, "size", "bitmap", "grp", *spread)
+    keys = ["grp", "band", "i", "above", "j"]
+    alone = m.where("small").select(*own, "size", "bitmap", "grp", F.lit(0).cast("long").alias("band"), *[F.lit(0).alias(c) for c in ("i", "above", "j", "side")])
+
+    # large groups: members with the same smallest key lie together unless they are more than a block
+    large = m.where("not small")
+    held = common.join(large.select(F.col("mark").alias("h_mark"), F.col("cls").alias("h_cls"), "grp", "band", "blocks", "in_band"), F.col("mark") == F.col("h_mark")).select("key", "h_cls", "grp", "band", "blocks", "in_band")
+    label = held.groupBy("h_cls", "grp", "band", "blocks", "in_band").agg(F.min("key").alias("label"))
+    crowd = label.groupBy("grp", "band", "label").agg(F.count(F.lit(1)).alias("crowd")).select(F.col("grp").alias("w_grp"), F.col("band").alias("w_band"), F.col("label").alias("w_label"), "crowd")
+    placed = label.join(crowd, (F.col("grp") == F.col("w_grp")) & (F.col("band") == F.col("w_band")) & (F.col("label") == F.col("w_label")))
+    place = F.when(F.col("crowd") * F.col("blocks") > F.col("in_band"), F.xxhash64("h_cls")).otherwise(F.xxhash64("label"))
+    placed = cut(placed.select(F.col("h_cls").alias("b_cls"), F.pmod(place, F.col("blocks")).cast("int").alias("block")))
+    having = held.join(placed, F.col("h_cls") == F.col("b_cls")).select("grp", "key", F.struct(F.col("band").cast("long").alias("band"), "block").alias("at"))
+    having = having.groupBy("grp", "key").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    pair = lambda x, y: F.struct(x["band"].alias("band"), x["block"].alias("i"), (y["band"] - x["band"]).cast("int").alias("above"), y["block"].alias("j"))
+    meet = F.flatten(F.transform("at", lambda x: F.transform(F.filter("at", lambda y: ((y["band"] == x["band"]) & (y["block"] >= x["block"])) | (y["band"] == x["band"] + 1)), lambda y: pair(x, y))))
+    tiles = cut(having.select("grp", F.explode(meet).alias("t")).distinct().select("grp", "t.*"))
+    first = tiles.select(F.col("grp").alias("s_grp"), F.col("band").alias("s_band"), F.col("i").alias("s_block"), *keys[1:], F.lit(0).alias("side"))
+    second = tiles.where("above = 1 or i <> j").select(F.col("grp").alias("s_grp"), (F.col("band") + F.col("above")).alias("s_band"), F.col("j").alias("s_block"), *keys[1:], F.lit(1).alias("side"))
+    sides = first.union(second).groupBy("s_grp", "s_band", "s_block").agg(F.collect_list(F.struct("band", "i", "above", "j", "side")).alias("tiles"))
+    large = large.withColumnRenamed("band", "m_band").join(placed, F.col("cls") == F.col("b_cls"))
+    large = large.join(sides, (F.col("grp") == F.col("s_grp")) & (F.col("m_band") == F.col("s_band")) & (F.col("block") == F.col("s_block")))
+    m = alone.union(large.select(*own, "size", "bitmap", "grp", F.explode("tiles").alias("t")).select(*own, "size", "bitmap", "grp", "t.*"))
 
     def screen(key, table):
         """Members of a tile that bitmaps allow a link in it; the others' arrays needn't travel."""
