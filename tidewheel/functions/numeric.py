@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import alias_native, fn
+from .registry import alias_native, fn, number
 
 alias_native(
     {n: (n, 1, 1) for n in ("abs", "acos", "asin", "bit_count", "ceil", "ceiling", "cos", "cot", "degrees", "exp", "floor", "radians", "sign", "sin", "tan")}
@@ -152,3 +152,66 @@ def greatest(*xs):
 @fn("least", least=1, most=None)
 def least(*xs):
     return F.when(reduce(lambda a, b: a & b, [x.isNotNull() for x in xs]), F.least(*xs) if len(xs) > 1 else xs[0])
+
+
+def convert(x: Column, kind: str) -> Column:
+    """CAST to one of the dialect's targets; text that isn't a number starts with 0, dates that aren't are NULL."""
+    name, _, rest = kind.upper().partition("(")
+    size = rest.rstrip(")")
+    if name in ("SIGNED", "BIGINT", "INT", "INTEGER"):
+        return F.coalesce(x.try_cast("long"), F.round(number(x)).cast("long"))
+    if name == "UNSIGNED":
+        whole = F.coalesce(x.try_cast("decimal(20,0)"), F.round(number(x)).cast("decimal(20,0)"))
+        return F.when(whole < 0, whole + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(whole)
+    if name in ("CHAR", "NCHAR", "VARCHAR", "TEXT"):
+        s = x.cast("string")
+        return F.left(s, F.lit(int(size))) if size else s
+    if name in ("BINARY", "VARBINARY"):
+        b = x.cast("string").cast("binary")
+        return F.substring(b, 1, int(size)) if size else b
+    if name in ("DECIMAL", "DEC", "NUMERIC"):
+        p, _, s = size.partition(",")
+        return F.coalesce(x.try_cast(f"decimal({int(p or 10)},{int(s or 0)})"), number(x).cast(f"decimal({int(p or 10)},{int(s or 0)})"))
+    if name in ("DOUBLE", "REAL", "FLOAT"):
+        return number(x).cast("float" if name == "FLOAT" else "double")
+    if name == "DATE":
+        return x.try_cast("date")
+    if name in ("DATETIME", "TIMESTAMP"):
+        return x.try_cast("timestamp_ntz")
+    if name == "TIME":
+        from .datetime import time
+
+        return time(x)
+    if name == "YEAR":
+        return F.coalesce(F.year(x.try_cast("date")), number(x).cast("int"))
+    if name == "JSON":
+        from .json import as_json
+
+        return as_json(x)
+    if name in ("BOOLEAN", "BOOL"):
+        return number(x) != 0
+    if name == "VECTOR":
+        return F.from_json(x.cast("string"), "array<float>")
+    raise ValueError(f"no cast to {kind}")
+
+
+def convert_using(x: Column, charset: str) -> Column:
+    """CONVERT(x USING charset): bytes for binary; characters a small set lacks become ``?``."""
+    if charset == "binary":
+        return x.cast("string").cast("binary")
+    s = x.cast("string")
+    if charset in ("ascii", "us-ascii"):
+        return F.regexp_replace(s, r"[^\x00-\x7f]", "?")
+    if charset in ("latin1", "cp1252"):
+        return F.regexp_replace(s, r"[^\x00-\xff]", "?")
+    return s
+
+
+def trim_text(s: Column, what: Column, side: str) -> Column:
+    """TRIM of repeats of a longer text."""
+    quoted = F.concat(F.lit(r"\Q"), what, F.lit(r"\E"))
+    if side in ("BOTH", "LEADING"):
+        s = F.regexp_replace(s, F.concat(F.lit("^(?:"), quoted, F.lit(")+")), F.lit(""))
+    if side in ("BOTH", "TRAILING"):
+        s = F.regexp_replace(s, F.concat(F.lit("(?:"), quoted, F.lit(")+$")), F.lit(""))
+    return s

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FUNCTIONS: dict[str, tuple[Callable[..., Column], int, int | None]] = {}
+#: Set while an expression becomes text (see ``plans.render``): gives Python functions names in the session.
+NAMED = None
 
 
 class ArityError(TypeError):
@@ -77,6 +79,8 @@ def python(f: Callable, returns: str) -> Callable[..., Column]:
         names = ", ".join(f"a{i}" for i in range(len(args)))
         scope = {"run": run}
         exec(f"def call({names}):\n    return run({names})", scope)  # noqa: S102
+        if NAMED is not None:
+            return F.call_function(NAMED.name((f, len(args), returns), lambda: pandas_udf(scope["call"], returns, PandasUDFType.SCALAR)), *args)
         return pandas_udf(scope["call"], returns, PandasUDFType.SCALAR)(*args)
 
     return build

@@ -26,3 +26,9 @@ def match(docs: DataFrame, key: str, columns: list[str], query: str) -> DataFram
     df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("word", "_w")
     scored = hits.join(df, F.col("word") == F.col("_w")).groupBy(key).agg(F.sum(F.col("tf") * F.pow(F.log10(F.lit(float(n)) / F.col("df")), 2)).alias("score"))
     return docs.join(scored, key)
+
+
+def term_hits(text, query: str):
+    """How often words of ``query`` occur in ``text``: MATCH as an expression, true if not 0.  ``match`` gives the weighted score."""
+    asked = sorted(set(re.findall(r"[\w']+", query.lower())))
+    return F.size(F.filter(words(F.coalesce(text, F.lit(""))), lambda w: w.isin(asked))).cast("double")

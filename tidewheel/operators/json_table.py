@@ -111,3 +111,33 @@ def json_table(df: DataFrame, doc: str, path: str, columns: list, keep: list[str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     out = source.mapInArrow(run, (schema + ", " if schema else "") + f"_rows {kind}")
     return out.select(*kept, F.inline("_rows"))
+
+
+def column_names(columns: list) -> list[str]:
+    return [c.name for c in _names(columns)]
+
+
+def row_type(columns: list) -> str:
+    """The Spark type of a document's rows."""
+    return "array<struct<" + ",".join(f"`{c.name}`:{'int' if c.kind != 'path' else 'string' if c.type.lower() == 'json' else c.type}" for c in _names(columns)) + ">>"
+
+
+def rows_function(path: str, columns: list):
+    """A pandas UDF from a document to its rows as JSON text, for JSON_TABLE in a statement."""
+    import pandas as pd
+    from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
+
+    names = _names(columns)
+
+    def one(x):
+        try:
+            doc = json.loads(x) if x is not None else None
+        except ValueError:
+            return None
+        return None if x is None else json.dumps([{c.name: r.get(c.name) for c in names} for r in rows(doc, path, columns)])
+
+    def run(xs: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in xs], dtype=object)
+
+    run.__annotations__ = {}
+    return pandas_udf(run, "string", PandasUDFType.SCALAR)

@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROUNDS = 10_001
+#: Rounds' results that are kept apart before they are written as one.
+MOST_PARTS = 16
 
 
 class RecursionLimit(RuntimeError):
@@ -29,6 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
 def written(df: DataFrame) -> DataFrame:
     """``df`` from a checkpoint, without the constraints of its old plan (a union over them can fail to resolve)."""
     spark, key = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    checkpoint_dir(spark)
     before = spark.conf.get(key)
     spark.conf.set(key, "false")
     try:
@@ -43,12 +47,16 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int
     Each round's rows are checkpointed, so the plan doesn't grow; only whether
     there are new rows reaches the driver.
     """
-    checkpoint_dir(base.sparkSession)
     new = written(base.distinct())
-    done = new
+    parts = [new]
     for _ in range(limit):
-        new = written(step(new).toDF(*base.columns).distinct().subtract(done))
+        fresh = step(new).toDF(*base.columns).distinct()
+        for p in parts:  # rows known so far stay where they were written
+            fresh = fresh.subtract(p)
+        new = written(fresh)
         if new.isEmpty():
-            return done
-        done = written(done.union(new))
+            return reduce(DataFrame.union, parts)
+        parts.append(new)
+        if len(parts) > MOST_PARTS:  # a round's plan stays small
+            parts = [written(reduce(DataFrame.union, parts))]
     raise RecursionLimit(f"more than {limit} rounds")

@@ -25,3 +25,18 @@ def into_variables(df: DataFrame) -> tuple:
     if len(rows) > 1:
         raise ValueError("the result has more than one row")
     return tuple(rows[0]) if rows else (None,) * len(df.columns)
+
+
+def into_dumpfile(df: DataFrame, path: str) -> None:
+    """SELECT ... INTO DUMPFILE: one row at most, its values as they are, in one file that isn't there yet."""
+    rows = df.take(2)
+    if len(rows) > 1:
+        raise ValueError("the result has more than one row")
+    data = b"".join(bytes(v) if isinstance(v, bytes | bytearray) else str(v).encode() for v in (rows[0] if rows else ()) if v is not None)
+    sc = df.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
