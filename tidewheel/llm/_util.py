@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function over Arrow batches that gives freed memory back to the system when it ends, as workers are used again."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def parts(spark: SparkSession, factor: int = 1) -> int:
     """Number of buckets for hash-packed shuffles: follows the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * factor

@@ -27,6 +27,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import tidy
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bounds of the lazily filled tables; beyond them a table starts anew.
 MAX_ARCS, MAX_WORDS, MAX_PAIRS = 1 << 18, 1 << 19, 1 << 18
@@ -387,7 +389,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        gc.disable()  # the tables hold no cycles, and collections would walk them over and over
+        gc.disable()  # the tables hold no cycles, and collections would walk them over and over; ``tidy`` enables them again
         for batch in batches:
             n, sha, back, kept, texts = [], [], [], [], []
             for cell in batch.column(1):
@@ -410,4 +412,4 @@ def encode_documents(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_ids
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidy(run), schema)

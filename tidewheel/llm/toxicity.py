@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import tidy
+
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE = 20_000
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -35,7 +37,7 @@ class _Terms(dict):
     """Hashes of a word's terms, packed; remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 18:
             self.clear()
         h = _hash(word)
         x = self[word] = h << 32 | (_hash("^" + word[:5]) if len(word) > 5 else h)
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             terms = [term_hashes(x.as_py(), memo).tobytes() for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(terms, pa.binary())], ["h", "doc_id", "toxic", "terms"])
 
-    got = rows.mapInArrow(run, "h long, doc_id long, toxic int, terms binary").toLocalIterator(True)
+    got = rows.mapInArrow(tidy(run), "h long, doc_id long, toxic int, terms binary").toLocalIterator(True)
     found = sorted(((r.h, r.doc_id, r.toxic, bytes(r.terms)) for r in got))[:sample]
     return train([np.frombuffer(t, np.uint32) for *_, t in found], np.array([int(y != 0) for _, _, y, _ in found]))
 
@@ -174,4 +176,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(tidy(run), schema)
