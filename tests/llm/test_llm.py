@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, cap_dedup, chat, licenses, mixing, ngram_join, suffix_dedup, topk, toxicity, warc
+from tidewheel.llm import _util, bpe, cap_dedup, chat, licenses, mixing, ngram_join, suffix_dedup, topk, toxicity, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string, bucket int, digest string"
 
@@ -558,3 +558,15 @@ def test_pipeline_runs(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     ids = {r.doc_id for r in out.collect()}
     assert 100 in ids and not ids & {101, 102}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_by_rounds_and_in_one_task(spark, few):
+    """A path, a star whose hub is hot, a cycle, loops, nulls and repeats; both ways give the smallest node."""
+    path = [(i, i + 1) for i in range(100, 160)]
+    star = [(1000, 1001 + i) for i in range(400)]
+    rest = [(5, 7), (7, 9), (9, 5), (3, 3), (None, 4), (5, 7)]
+    got = dict(map(tuple, _util.connected_components(spark.createDataFrame(path + star + rest, "a long, b long"), few=few).collect()))
+    want = {i: 100 for i in range(100, 161)} | {1000 + i: 1000 for i in range(401)} | {5: 5, 7: 5, 9: 5}
+    assert got == want
+    assert _util.connected_components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0

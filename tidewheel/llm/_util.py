@@ -57,12 +57,45 @@ def parts(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * factor
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: A graph of at most so many edges (16 bytes each) is finished in one task.
+FEW = 1 << 20
+
+
+def _settle(e: DataFrame) -> DataFrame:
+    """Components of a graph of bounded size: hooking and pointer jumping over arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+        if not ends:
+            return
+        nodes, at = np.unique(np.concatenate([np.concatenate(x) for x in zip(*ends, strict=True)]), return_inverse=True)
+        x, y = at.reshape(2, -1)
+        label = np.arange(len(nodes))
+        while True:
+            new, low = label.copy(), np.minimum(label[x], label[y])
+            np.minimum.at(new, label[x], low)
+            np.minimum.at(new, label[y], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        for lo in range(0, len(nodes), 1 << 16):
+            cut_ = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[cut_]), pa.array(nodes[label[cut_]])], ["node", "component"])
+
+    return e.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, few: int | None = None) -> DataFrame:
     """Label every node of an undirected edge table with the smallest node it reaches.
 
     ``edges`` has long columns ``a`` and ``b``; the result has ``node`` and
-    ``component``.  Alternating large-star and small-star contractions: each
-    round is two partial aggregations and two lookups of a node's smallest
+    ``component``.  At most ``few`` edges (a bound, ``FEW``) are settled in one
+    task, which saves a small graph the rounds; more by alternating large-star
+    and small-star contractions: each round is two partial aggregations and two lookups of a node's smallest
     neighbour.  A node with more than ``max(256, ends / 50,000)`` neighbours is
     looked up without a shuffle, so no partition holds a hot node: there are at
     most 50,000 such nodes, which is the proven bound of that broadcast.  Every
@@ -76,6 +109,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     e = cut(e.distinct())
     n = e.count()
+    if n <= (FEW if few is None else few):
+        return _settle(e)
 
     def lookup(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
         """``rows`` with ``m`` of ``low`` (k, m, degree) for a = k; frequent keys by a broadcast of bounded size."""

@@ -35,10 +35,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import connected_components, cut, parts
+from ._util import connected_components, cut, parts, tidy
 
 #: Bounds of a tile's block.
-BLOCK_ROWS, BLOCK_BYTES = 128, 1 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 21
 #: Keys held before they are written out, and sizes' ratio between bands.
 FLUSH_KEYS, BAND = 1 << 20, 1.5
 
@@ -90,7 +90,7 @@ def with_digests(docs: DataFrame, n: int = 5) -> DataFrame:
             found = [set_digest(shingles(x.as_py(), n, memo)) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("set_digest", T.BinaryType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema, T.StructField("set_digest", T.BinaryType())]))
 
 
 def most_apart(a: int, b: int, num: int, den: int) -> int:
@@ -237,7 +237,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFram
             yield flush()
 
     schema = "doc_id long, n_shingles long, digest binary, mark long, least array<int>, bitmap binary, keys binary, shared binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def shared_keys(sets: DataFrame) -> DataFrame:
@@ -297,23 +297,24 @@ def shared_keys(sets: DataFrame) -> DataFrame:
                 x = x >> np.uint64(3) << np.uint64(2) | x & np.uint64(3)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(f) for f in found])), pa.array(x.astype(np.int64))], ["mark", "key"])
 
-    packed = sets.where("keys is not null").select("mark", "keys").mapInArrow(pack, "bucket long, keys binary, low binary, marks binary")
+    packed = sets.where("keys is not null").select("mark", "keys").mapInArrow(tidy(pack), "bucket long, keys binary, low binary, marks binary")
     across = packed.groupBy("bucket").applyInArrow(match, "mark long, key long")
     return sets.where("shared is not null").select("mark", "shared").mapInArrow(own, "mark long, key long").union(across)
 
 
 def candidate_keys(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(mark, key) without slots, for those sets that share so many keys of a band that they may link there."""
+    """(mark, keys) without slots, for those sets that share so many keys of a band that they may link there."""
     per = shared.withColumn("slot", F.col("key").bitwiseAND(SLOT).cast("int")).repartition("mark").groupBy("mark", "slot").agg(F.collect_set("key").alias("keys"))
     least = classes.select(F.col("mark").alias("c_mark"), F.posexplode("least").alias("c_slot", "c_least"))
     per = per.join(least, (F.col("mark") == F.col("c_mark")) & (F.col("slot") == F.col("c_slot"))).where(F.size("keys") >= F.col("c_least"))
-    return per.select("mark", F.explode("keys").alias("key")).select("mark", F.shiftright("key", 2).alias("key")).distinct()
+    per = per.groupBy("mark").agg(F.flatten(F.collect_set("keys")).alias("keys"))
+    return per.select("mark", F.array_distinct(F.transform("keys", lambda x: F.shiftright(x, 2))).alias("keys"))
 
 
 def key_edges(keys: DataFrame, spread: int) -> DataFrame:
     """Edges (a, b) that connect the sets of each key: to the smallest of a salted share of them, and from there to the smallest of all."""
     salt = F.pmod(F.xxhash64("mark"), F.lit(spread))
-    near = keys.withColumn("salt", salt)
+    near = keys.select("mark", F.explode("keys").alias("key")).withColumn("salt", salt)
     near = near.withColumn("head", F.min("mark").over(Window.partitionBy("key", "salt")))
     heads = near.groupBy("key", "salt").agg(F.min("mark").alias("head"))
     heads = heads.withColumn("top", F.min("head").over(Window.partitionBy("key")))
@@ -321,8 +322,53 @@ def key_edges(keys: DataFrame, spread: int) -> DataFrame:
     return edges.where("a <> b").distinct()
 
 
-def _links_in_tile(sizes, maps, arrays, weight, left, right, same, num, den):
-    """Links between two blocks (or within one): counts by member and a spanning forest of local edges."""
+def block_tiles(placed: DataFrame) -> DataFrame:
+    """(grp, band, i, above, j): pairs of blocks of a group that have a key in common, in one band or in adjacent ones.
+
+    ``placed``: grp, band, blocks, block, keys.  A block's keys are put together
+    once and dealt by key, as many shares as the band has blocks, so rows are
+    blocks times shares, whatever the number of members.
+    """
+    import pyarrow as pa
+
+    def gather(key, table):
+        grp, band, block = (k.as_py() for k in key)
+        k = np.unique(np.concatenate([np.array(x.values, np.int64) for x in table.column("keys")]))
+        share = _mix(k.view(np.uint64)) % np.uint64(max(1, table.column("shares")[0].as_py()))
+        order = np.argsort(share, kind="stable")
+        w, first = np.unique(share[order], return_index=True)
+        k, ends = k[order], [*first[1:].tolist(), len(k)]
+        n = len(w)
+        return pa.table([pa.array([grp] * n, pa.int64()), pa.array(w.astype(np.int64)), pa.array([band] * n, pa.int64()), pa.array([block] * n, pa.int32()), pa.array([k[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())], ["grp", "share", "band", "block", "keys"])
+
+    def meet(key, table):
+        band, block = (np.array(table.column(c)) for c in ("band", "block"))
+        keys = [np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        who = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(at, kind="stable")
+        at, who = at[order], who[order]
+        common = np.zeros((len(keys), len(keys)), bool)
+        step = max(1, (1 << 22) // len(keys))
+        for lo in range(0, int(at[-1]) + 1, step):
+            a, b = np.searchsorted(at, [lo, lo + step])
+            has = np.zeros((step, len(keys)), np.float32)
+            has[at[a:b] - lo, who[a:b]] = 1
+            common |= (has.T @ has) > 0
+        x, y = np.nonzero(common & ((band[:, None] == band) & (block[:, None] <= block) | (band[:, None] + 1 == band)))
+        return pa.table([pa.array([key[0].as_py()] * len(x), pa.int64()), pa.array(band[x]), pa.array(block[x]), pa.array((band[y] - band[x]).astype(np.int32)), pa.array(block[y])], ["grp", "band", "i", "above", "j"])
+
+    shares = placed.groupBy("grp").agg(F.max("blocks").alias("shares")).withColumnRenamed("grp", "s_grp")
+    dealt = placed.join(shares, F.col("grp") == F.col("s_grp")).select("grp", "band", "block", "keys", "shares")
+    dealt = dealt.groupBy("grp", "band", "block").applyInArrow(gather, "grp long, share long, band long, block int, keys binary")
+    return dealt.groupBy("grp", "share").applyInArrow(meet, "grp long, band long, i int, above int, j int").distinct()
+
+
+def _links_in_tile(sizes, maps, arrays, weight, left, right, same, num, den, count=True):
+    """Links between two blocks (or within one): counts by member and a spanning forest of local edges.
+
+    Without ``count`` pairs that the forest connects already aren't intersected.
+    """
     counts = np.zeros(len(sizes), np.int64)
     root = np.arange(len(sizes))
     forest = []
@@ -335,6 +381,9 @@ def _links_in_tile(sizes, maps, arrays, weight, left, right, same, num, den):
 
     for p, i in enumerate(left):
         others = right[p + 1 :] if same else right
+        if not count:
+            mine = find(i)
+            others = others[[find(j) != mine for j in others.tolist()]] if len(others) else others
         if len(others):
             others = _candidates(i, others, sizes, maps, num, den)
         if not len(others):
@@ -357,7 +406,7 @@ def _links_in_tile(sizes, maps, arrays, weight, left, right, same, num, den):
     return counts, forest
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool = False, count: bool = True) -> DataFrame:
     """Link documents whose sets of word n-grams have Jaccard similarity ``percent / 100`` or more.
 
     ``docs``: doc_id, text; other columns are not read.  Returns ``doc_id``,
@@ -375,8 +424,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
     the set and a number ``component`` are added (null for rows without), as
     several components may then have the same smallest id.
 
+    ``count``: without it ``n_links`` is left out, and pairs that are connected
+    already aren't intersected.
+
     Shuffles: tile keys (packed), classes by digest (partially aggregated), bitmaps
-    once for each tile, texts, and arrays for each tile in which they may link.  A group of m documents has at most about 32 blocks until a
+    once for each tile, texts, and arrays for each tile in which they may link.  A group of documents has at most 16 blocks in a band of sizes until a
     block is full, so a large group spreads over hundreds of tasks.
     """
     import pyarrow as pa
@@ -397,7 +449,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
     totals = members.groupBy("grp").agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("size") * 8).alias("total_bytes")).withColumnRenamed("grp", "t_grp")
     counts = counts.join(totals, F.col("grp") == F.col("t_grp")).where("total > 1")
     small = (F.col("total") <= BLOCK_ROWS) & (F.col("total_bytes") <= BLOCK_BYTES)
-    blocks = F.greatest(F.ceil(F.col("bytes") / (64 * BLOCK_BYTES)), F.ceil(F.col("n") / (64 * BLOCK_ROWS)), F.least(F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(32)))
+    blocks = F.greatest(F.ceil(F.col("bytes") / (32 * BLOCK_BYTES)), F.ceil(F.col("n") / (16 * BLOCK_ROWS)), F.least(F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(16)))
     plan = counts.select(F.col("grp").alias("p_grp"), F.col("band").alias("p_band"), small.alias("small"), blocks.cast("int").alias("blocks"), F.col("n").alias("in_band"))
     m = members.join(plan, (F.col("grp") == F.col("p_grp")) & (F.col("band") == F.col("p_band"))).drop("p_grp", "p_band")
     own = ["cls", "digest", "rep", "copies"]
@@ -406,17 +458,13 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
 
     # large groups: members with the same smallest key lie together unless they are more than a block
     large = m.where("not small")
-    held = common.join(large.select(F.col("mark").alias("h_mark"), F.col("cls").alias("h_cls"), "grp", "band", "blocks", "in_band"), F.col("mark") == F.col("h_mark")).select("key", "h_cls", "grp", "band", "blocks", "in_band")
-    label = held.groupBy("h_cls", "grp", "band", "blocks", "in_band").agg(F.min("key").alias("label"))
-    crowd = label.groupBy("grp", "band", "label").agg(F.count(F.lit(1)).alias("crowd")).select(F.col("grp").alias("w_grp"), F.col("band").alias("w_band"), F.col("label").alias("w_label"), "crowd")
-    placed = label.join(crowd, (F.col("grp") == F.col("w_grp")) & (F.col("band") == F.col("w_band")) & (F.col("label") == F.col("w_label")))
-    place = F.when(F.col("crowd") * F.col("blocks") > F.col("in_band"), F.xxhash64("h_cls")).otherwise(F.xxhash64("label"))
-    placed = cut(placed.select(F.col("h_cls").alias("b_cls"), F.pmod(place, F.col("blocks")).cast("int").alias("block")))
-    having = held.join(placed, F.col("h_cls") == F.col("b_cls")).select("grp", "key", F.struct(F.col("band").cast("long").alias("band"), "block").alias("at"))
-    having = having.groupBy("grp", "key").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    pair = lambda x, y: F.struct(x["band"].alias("band"), x["block"].alias("i"), (y["band"] - x["band"]).cast("int").alias("above"), y["block"].alias("j"))
-    meet = F.flatten(F.transform("at", lambda x: F.transform(F.filter("at", lambda y: ((y["band"] == x["band"]) & (y["block"] >= x["block"])) | (y["band"] == x["band"] + 1)), lambda y: pair(x, y))))
-    tiles = cut(having.select("grp", F.explode(meet).alias("t")).distinct().select("grp", "t.*"))
+    held = large.join(common.select(F.col("mark").alias("h_mark"), "keys"), F.col("mark") == F.col("h_mark")).select("cls", "grp", "band", "blocks", "in_band", "keys", F.array_min("keys").alias("label"))
+    crowd = held.groupBy("grp", "band", "label").agg(F.count(F.lit(1)).alias("crowd")).select(F.col("grp").alias("w_grp"), F.col("band").alias("w_band"), F.col("label").alias("w_label"), "crowd")
+    placed = held.join(crowd, (F.col("grp") == F.col("w_grp")) & (F.col("band") == F.col("w_band")) & (F.col("label") == F.col("w_label")))
+    place = F.when(F.col("crowd") * F.col("blocks") > F.col("in_band"), F.xxhash64("cls")).otherwise(F.xxhash64("label"))
+    placed = cut(placed.select("cls", "grp", "band", "blocks", "keys", F.pmod(place, F.col("blocks")).cast("int").alias("block")))
+    tiles = cut(block_tiles(placed))
+    placed = placed.select(F.col("cls").alias("b_cls"), "block")
     first = tiles.select(F.col("grp").alias("s_grp"), F.col("band").alias("s_band"), F.col("i").alias("s_block"), *keys[1:], F.lit(0).alias("side"))
     second = tiles.where("above = 1 or i <> j").select(F.col("grp").alias("s_grp"), (F.col("band") + F.col("above")).alias("s_band"), F.col("j").alias("s_block"), *keys[1:], F.lit(1).alias("side"))
     sides = first.union(second).groupBy("s_grp", "s_band", "s_block").agg(F.collect_list(F.struct("band", "i", "above", "j", "side")).alias("tiles"))
@@ -457,7 +505,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(arrays, pa.binary()), pa.array(copies, pa.int64()), pa.array(grp, pa.int64()), pa.array(tiles_, batch.column(4).type)], ["cls", "array", "copies", "grp", "tiles"])
 
     kind = "array<struct<band:bigint,i:int,above:int,j:int,side:int>>"
-    m = m.mapInArrow(prepare, f"cls long, array binary, copies long, grp long, tiles {kind}")
+    m = m.mapInArrow(tidy(prepare), f"cls long, array binary, copies long, grp long, tiles {kind}")
     m = m.select("cls", "array", "copies", "grp", F.explode("tiles").alias("t"))
     m = m.select("cls", "array", "copies", "grp", F.col("t.band").alias("band"), F.col("t.i").alias("i"), F.col("t.above").alias("above"), F.col("t.j").alias("j"), F.col("t.side").alias("side"))
 
@@ -471,8 +519,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
         at = np.arange(len(ids))
         within = key[3].as_py() == 0 and key[2].as_py() == key[4].as_py()
         left, right = (at, at) if within else (at[side == 0], at[side == 1])
-        counts, forest = _links_in_tile(sizes, maps, arrays, weight, left, right, within, num, den)
-        got = np.flatnonzero(counts)
+        counts, forest = _links_in_tile(sizes, maps, arrays, weight, left, right, within, num, den, count)
+        got = np.flatnonzero(counts) if count else np.empty(0, np.int64)
         a, b = [ids[x] for x, _ in forest], [ids[y] for _, y in forest]
         return pa.table(
             [pa.array([*ids[got].tolist(), *map(int, a)], pa.int64()), pa.array([*counts[got].tolist(), *[0] * len(a)], pa.int64()), pa.array([*[None] * len(got), *map(int, b)], pa.int64())], ["cls", "links", "partner"]
@@ -498,5 +546,5 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
         F.col("digest").alias("c_digest"), F.coalesce("smallest", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")
     )
     out = of_row.join(of_class, F.col("digest") == F.col("c_digest"), "left")
-    more = ["digest", "component"] if by_text else []
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] * count + [F.col(c) for c in ("digest", "component") if by_text]
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
