@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by five-word n-grams at 0.8 one row of the smallest id stays; rows without id or words stay."""
-    joined = ngram_join.jaccard_join(docs, n=5, percent=80, by_text=True)
+    joined = ngram_join.jaccard_join(docs, n=5, percent=80, by_text=True, count=False)
     again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id")))
     if again.isEmpty():
         gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
