@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tidewheel.plans import queries as Q
+from tidewheel.plans import sql_queries as S
 
 DATA = "/root/testdata/sf0.001"
 
@@ -41,3 +42,13 @@ def test_same_rows(spark, duck, name):
         names = [d[0] for d in cur.description]
         assert sorted(df.columns) == sorted(names)
         assert got == rows(names, cur.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(S.QUERIES))
+def test_statements_give_the_same_rows(spark, duck, name):
+    df = S.QUERIES[name](spark, DATA)
+    got = rows(df.columns, df.collect())
+    cur = duck.execute(S.SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(df.columns) == sorted(names)
+    assert got == rows(names, cur.fetchall())

@@ -93,7 +93,7 @@ def int_divide(a: Column, b: Column) -> Column:
 def unsigned(x: Column) -> Column:
     """A 64-bit pattern as an unsigned number."""
     d = x.cast("decimal(20,0)")
-    return F.when(x < 0, d + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(d)
+    return F.when(x < 0, d + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)")
 
 
 def bit_and(a, b):
@@ -162,7 +162,7 @@ def convert(x: Column, kind: str) -> Column:
         return F.coalesce(x.try_cast("long"), F.round(number(x)).cast("long"))
     if name == "UNSIGNED":
         whole = F.coalesce(x.try_cast("decimal(20,0)"), F.round(number(x)).cast("decimal(20,0)"))
-        return F.when(whole < 0, whole + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(whole)
+        return F.when(whole < 0, whole + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(whole).cast("decimal(20,0)")
     if name in ("CHAR", "NCHAR", "VARCHAR", "TEXT"):
         s = x.cast("string")
         return F.left(s, F.lit(int(size))) if size else s
