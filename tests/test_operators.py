@@ -122,3 +122,34 @@ def test_front_door(spark):
     assert translate("SELECT 'LIMIT 1, 2', LENGTH(v) FROM t LIMIT 3, 4") == "SELECT 'LIMIT 1, 2', octet_length(v) FROM t LIMIT 4 OFFSET 3"
     with pytest.raises(UnsupportedStatement):
         e.sql("START REPLICA")
+
+
+def test_range_join_of_long_ranges(spark):
+    """Ranges of any length and outer rows, against a nested loop."""
+    points = [(i, v) for i, v in enumerate([0.5, 3.0, 40.0, 999.0, 5000.0, None])]
+    ranges = [("a", 0.0, 1.0), ("b", 2.0, 4000.0), ("c", 39.5, 40.5), ("d", 900.0, 1000.0), ("e", None, 1.0), ("f", 5.0, 4.0)]
+    p, r = spark.createDataFrame(points, "i int, v double"), spark.createDataFrame(ranges, "name string, lo double, hi double")
+    want = sorted((i, n) for i, v in points for n, lo, hi in ranges if None not in (v, lo, hi) and lo <= v <= hi)
+    assert sorted(map(tuple, joins.range_join(p, r, "v", "lo", "hi", 1.0).select("i", "name").collect())) == want
+    left = sorted((x[0], x[1] or "") for x in joins.range_join(p, r, "v", "lo", "hi", 1.0, "left").select("i", "name").collect())
+    missing = [(i, "") for i, _ in points if i not in {a for a, _ in want}]
+    assert left == sorted(want + missing)
+
+
+def test_anti_join_by_kind_avoids_pairs_of_rows(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (None,)], "x int"), spark.createDataFrame([(2,), (3,)], "y int")
+    got = joins.join(a, b, F.col("x") == F.col("y"), "anti")
+    assert [r.x for r in got.collect()] == [1]
+    assert "BroadcastNestedLoopJoin BuildRight, LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
+    with_null = b.union(spark.createDataFrame([(None,)], "y int"))
+    assert joins.join(a, with_null, F.col("x") == F.col("y"), "anti").count() == 0
+
+
+def test_units_of_length(spark):
+    from tidewheel.functions import call
+
+    line = lambda srid: call("st_geomfromtext", F.lit("LINESTRING(0 0,3 4)"), F.lit(srid))
+    assert spark.range(1).select(call("st_length", line(3857), "kilometre")).first()[0] == pytest.approx(0.005)
+    for bad in (call("st_length", line(0), "metre"), call("st_length", line(3857), "parsec")):
+        with pytest.raises(Exception, match="unit"):
+            spark.range(1).select(bad).collect()

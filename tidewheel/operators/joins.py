@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Physical hints by the dialect's hint names.
 HINTS = {"HASH_JOIN": "shuffle_hash", "MERGE_JOIN": "merge", "LOOKUP_JOIN": "broadcast", "INNER_JOIN": None, "JOIN_ORDER": None, "NO_MERGE_JOIN": "shuffle_hash"}
+#: Buckets of a range at one level, and levels, each that many times wider than the one before.
+MOST_BUCKETS, LEVELS = 64, 8
 KINDS = {"inner": "inner", "cross": "cross", "left": "left_outer", "right": "right_outer", "full": "full_outer", "semi": "left_semi", "anti_include_nulls": "left_anti"}
 
 
@@ -35,10 +39,31 @@ def _bytes(text: str) -> int:
 
 
 def anti_not_in(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    """NOT IN: a comparison that is unknown rejects the row (NOT EXISTS keeps it: ``anti_include_nulls``)."""
+    """NOT IN: a comparison that is unknown rejects the row (NOT EXISTS keeps it: ``anti_include_nulls``).
+
+    ``column = other`` goes the way of :func:`not_in`, by hash or merge; only
+    another condition compares each pair of rows.
+    """
+    pair = _equality(on)
+    if pair:
+        a, b = pair if pair[0] in left.columns else pair[::-1]
+        if a in left.columns and b in right.columns and a not in right.columns:
+            return not_in(left, a, right, b)
     return left.join(right, F.coalesce(on, F.lit(True)), "left_anti")
 
 
+def _equality(on: Column) -> tuple[str, str] | None:
+    """The two columns of a condition ``a = b``, if it is one."""
+    n = on._jc.node() if hasattr(on, "_jc") else None
+    if n is None or n.getClass().getSimpleName() != "UnresolvedFunction" or n.functionName() not in ("=", "=="):
+        return None
+    sides = [n.arguments().apply(i) for i in range(2)]
+    if any(x.getClass().getSimpleName() != "UnresolvedAttribute" for x in sides):
+        return None
+    names = [x.nameParts().apply(x.nameParts().size() - 1) for x in sides]
+    return names[0], names[1]
+
+
 def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
     """``column NOT IN (SELECT other FROM right)`` without a nested loop.
 
@@ -66,9 +91,23 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
 
     A range is repeated for each bucket it touches, a point has one, so each
     match is found once; NULL bounds match nothing.  ``width`` near the usual
-    length of a range keeps both the repeats and the buckets small.
+    length of a range keeps both the repeats and the buckets small.  Ranges of
+    more than ``MOST_BUCKETS`` buckets go to buckets of ``MOST_BUCKETS`` times
+    the width, and so on: a range has ``MOST_BUCKETS + 1`` rows at most, and a
+    point one for each level.
     """
-    p = points.withColumn("_b", F.floor(F.col(value) / width).cast("long"))
-    r = ranges.where(F.col(low) <= F.col(high)).withColumn("_rb", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long"))))
-    on = (F.col("_b") == F.col("_rb")) & F.col(value).between(F.col(low), F.col(high))
-    return p.join(r, on, KINDS[kind]).drop("_b", "_rb")
+    length = (F.col(high) - F.col(low)) / width
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(length, F.lit(1.0))) / F.lit(math.log(MOST_BUCKETS))) - 1).cast("int")
+    r = ranges.where(F.col(low) <= F.col(high)).withColumn("_rl", F.least(level, F.lit(LEVELS - 1)))
+    size = F.lit(float(width)) * F.pow(F.lit(float(MOST_BUCKETS)), F.col("_rl"))
+    r = r.withColumn("_rb", F.explode(F.sequence(F.floor(F.col(low) / size).cast("long"), F.floor(F.col(high) / size).cast("long"))))
+    # levels without a range cost the points nothing
+    used = sorted(x[0] for x in r.select("_rl").distinct().limit(LEVELS).collect()) or [0]
+    p = points.withColumn("_l", F.explode(F.array(*[F.lit(x) for x in used]))) if kind == "inner" or len(used) == 1 else points.withColumn("_id", F.monotonically_increasing_id()).withColumn("_l", F.explode(F.array(*[F.lit(x) for x in used])))
+    p = p.withColumn("_b", F.floor(F.col(value) / (F.lit(float(width)) * F.pow(F.lit(float(MOST_BUCKETS)), F.col("_l")))).cast("long"))
+    on = (F.col("_b") == F.col("_rb")) & (F.col("_l") == F.col("_rl")) & F.col(value).between(F.col(low), F.col(high))
+    out = p.join(r, on, KINDS[kind])
+    if "_id" in p.columns:  # an outer row that matched on one level isn't unmatched on the others
+        found = F.max(F.col("_rl").isNotNull()).over(Window.partitionBy("_id"))
+        out = out.withColumn("_found", found).where(F.col("_rl").isNotNull() | (~F.col("_found") & (F.col("_l") == used[0]))).drop("_found", "_id")
+    return out.drop("_b", "_rb", "_l", "_rl")
