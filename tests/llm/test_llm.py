@@ -570,3 +570,165 @@ def test_components_by_rounds_and_in_one_task(spark, few):
     want = {i: 100 for i in range(100, 161)} | {1000 + i: 1000 for i in range(401)} | {5: 5, 7: 5, 9: 5}
     assert got == want
     assert _util.connected_components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
+
+
+def test_top_k_ranks_repeated_candidates_each(spark):
+    """Rows of one id are candidates each; ties go to the smaller id."""
+    rows = [(0, [1.0, 0.0])] + [(7, [9.0, 0.0])] * 6 + [(i, [9.0, 0.0]) for i in range(8, 13)] + [(20, [1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = sorted(map(tuple, topk.top_k(v, v.where("vec_id = 0"), 5).collect()))
+    assert got == [(0, i, 7, 9) for i in range(1, 6)]
+    got = sorted(map(tuple, topk.top_k(v.dropDuplicates(["vec_id"]), v.where("vec_id = 0"), 5).collect()))
+    assert got == [(0, i + 1, 7 + i, 9) for i in range(5)]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns that clash with inner names, or need quoting, come back as they were."""
+    rows = [(i, f"word{i} " * 30, "s" if i % 2 else None, "x", i, i + 1, None) for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, `my col` string, n int, _times int, `_rank` string")
+    assert mixing.mixed_documents(d).columns == d.columns
+    assert set(map(tuple, mixing.mixed_documents(d).collect())) <= set(rows)
+    kept = suffix_dedup.remove_repeats(d, keep_text=True)
+    assert sorted(r.whole["my col"] for r in kept.collect()) == ["x"] * 8
+    assert mixing.mixed_documents(d.limit(0)).count() == 0
+
+
+def test_hot_windows_by_digest_equal_brute_force(spark, monkeypatch):
+    """The split path gives the same bytes as the sorted one."""
+    passage = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(260))
+    rows = [(i, f"{i} begins here " * 3 + passage + f" and {i * 17} ends " * 3) for i in range(12)] + [(99, "alone " * 60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, suffix_dedup.remove_repeats(d).collect()))
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(d).collect())) == plain
+
+
+def test_machine_equals_explicit_pairs_and_finite_differences():
+    """The score is bias, weights and every pair's product; the gradient is that of the loss."""
+    rng = np.random.default_rng(3)
+    m = toxicity.Model(np.sort(rng.choice(1 << 30, 9, False)).astype(np.uint32), rng.normal(size=9), rng.normal(size=(9, 4)), 0.3)
+    for _ in range(5):
+        own = np.sort(rng.choice(9, rng.integers(0, 9), False))
+        want = m.bias + m.weights[own].sum() + sum(float(m.factors[i] @ m.factors[j]) for i in own for j in own if i < j)
+        assert m.raw(np.append(m.terms[own], np.uint32(7))) == pytest.approx(want)
+    rows = [np.sort(rng.choice(9, rng.integers(1, 6), False)) for _ in range(12)]
+    t, where = np.concatenate(rows), np.repeat(np.arange(12), [len(r) for r in rows])
+    y, weight, w, v, b = rng.integers(0, 2, 12).astype(float), rng.uniform(1, 3, 12), rng.normal(size=9), rng.normal(size=(9, 4)), 0.2
+    loss = lambda w, v, b: toxicity.gradient(t, where, y, weight, w, v, b)[0]
+    _, used, dw, dv, db = toxicity.gradient(t, where, y, weight, w, v, b)
+    e = 1e-6
+    assert db == pytest.approx((loss(w, v, b + e) - loss(w, v, b - e)) / (2 * e), abs=1e-6)
+    for k, i in enumerate(used):
+        up = np.zeros(9)
+        up[i] = e
+        assert dw[k] == pytest.approx((loss(w + up, v, b) - loss(w - up, v, b)) / (2 * e), abs=1e-6)
+        for r in range(4):
+            upv = np.zeros((9, 4))
+            upv[i, r] = e
+            assert dv[k, r] == pytest.approx((loss(w, v + upv, b) - loss(w, v - upv, b)) / (2 * e), abs=1e-6)
+
+
+def test_terms_that_tell_only_together_are_learned():
+    """The label is one of two words without the other: neither says anything alone."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(np.unique(np.array([10] * a + [20] * b + rng.choice(np.arange(100, 200), 5, False).tolist(), np.uint32)))
+        labels.append(a ^ b)
+    m = toxicity.train(rows, np.array(labels))
+    assert {10, 20} <= set(m.terms.tolist())
+    right = np.mean([(m.score(r) >= 0.5) == y for r, y in zip(rows, labels, strict=True)])
+    assert right > 0.95
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages on toxic rows, near copies and repeated passages, against plain loops; every returned row counts."""
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(21)
+    text = lambda n: " ".join("w%d" % rng.randint(0, 10**6) for _ in range(n))
+    passage, near = text(45), text(80)
+    rows = [(i, text(rng.randint(5, 40)) + (" scum vermin filth" if i % 5 == 0 else " kind words here"), "abc"[i % 3]) for i in range(90)]
+    rows += [(200, near, "a"), (201, near + " x", "b"), (202, near, None), (210, text(30) + " " + passage, "a"), (211, passage + " " + text(30), "b"), (220, None, None), (221, "", "a"), (222, " ", "c")]
+    d = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", F.lit("x").alias("my col"), F.lit(1).alias("n"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+
+    # toxicity: the machine's explicit sum over pairs
+    model = toxicity.fit(d, labels.where("crc32(cast(doc_id as string)) % 3 <> 1"))
+    at = {int(t): i for i, t in enumerate(model.terms)}
+
+    def score(t):
+        own = [at[int(h)] for h in toxicity.term_hashes(t, toxicity._Terms()) if int(h) in at]
+        raw = model.bias + sum(model.weights[i] for i in own) + sum(float(model.factors[i] @ model.factors[j]) for i, j in itertools.combinations(own, 2))
+        return 1 / (1 + math.exp(-raw))
+
+    kept = [r for r in rows if score(r[1]) < 0.7]
+    assert any(r not in kept for r in rows[:90:5]) and all(r in kept for r in rows[90:])
+    # near copies: one of each component by all pairs
+    parts = brute_join([(i, t) for i, t, _ in kept], 5, 80)
+    kept = [r for r in kept if parts[r[0]][1] == r[0]]
+    assert {200} == {r[0] for r in kept} & {200, 201, 202}
+    # repeated bytes
+    seen = {}
+    for _, t, _ in kept:
+        b = (t or "").encode()
+        for p in range(len(b) - 199):
+            seen[b[p : p + 200]] = seen.get(b[p : p + 200], 0) + 1
+    cut = []
+    for i, t, s in kept:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 199):
+            if seen[b[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        cut.append((i, np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "replace"), s))
+    assert any(len(t) < len(next(x for j, x, _ in kept if j == i) or "") for i, t, _ in cut)
+    # the mix: whole documents in the hashed order of their source, round again up to the target
+    size = {i: len(mixing_words(t)) for i, t, _ in cut}
+    order = {r.doc_id: r.h for r in spark.createDataFrame([(i, size[i]) for i, *_ in cut], "doc_id long, size long").select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.lit(0).cast("long"), "size").alias("h")).collect()}
+    total = {s: sum(size[i] for i, _, x in cut if x == s) for s in {x for *_, x in cut}}
+    goal = brute_targets(total)
+    mixed = []
+    for s in total:
+        before = 0
+        for i, t, _ in sorted((x for x in cut if x[2] == s), key=lambda x: order[x[0]] % 2**64):
+            middle = before + size[i] / 2
+            mixed += [(i, t)] * ((size[i] > 0 and middle <= goal[s]) + (size[i] > 0 and middle + total[s] <= goal[s]))
+            before += size[i]
+    # tokens by the library
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read().splitlines() if x.strip())}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in mixed:
+        ids = enc.encode_ordinary(t)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def mixing_words(t):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def brute_targets(total, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """Water filling: shares by weight, the excess over a source's cap shared again until none is above."""
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, open_, out = share * sum(total.values()), set(names), {}
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        full = {s for s in open_ if level * w[s] > cap * total[s]}
+        if not full:
+            return out | {s: level * w[s] for s in open_}
+        for s in full:
+            out[s] = cap * total[s]
+            left -= out[s]
+        open_ -= full
+    return out

@@ -96,7 +96,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 31) ->
     so, for which sums are exact).  Returns query_id, rank from 1, vec_id, score;
     ties go to the smaller vec_id; fewer rows if there are fewer candidates.  A
     query's own vec_id isn't a candidate (nor are rows that repeat it; a repeated
-    query row counts once).  Rows with a null vec_id, a null vector, or null
+    query row counts once).  Candidate rows that repeat a vec_id are candidates
+    each and take a rank each.  Rows with a null vec_id, a null vector, or null
     or non-finite components take no part.  Shorter vectors are padded with 0, so
     an empty vector scores 0.  Other columns are not read; empty tables give no row.
 
@@ -201,14 +202,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 31) ->
         return pa.table({"query_id": pa.array(q_ids[r]), "vec_id": pa.array(i[r, c]), "score": pa.array(s[r, c].astype(np.int64))})
 
     def search(asked: DataFrame) -> DataFrame:
-        rows = idx.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
         keys = ["cell", "block", "q_block"]
+        # a block of the index goes where a block of queries asked for it, and nowhere else
+        wanted = asked.select(*keys).distinct().select(F.col("cell").alias("w_cell"), F.col("block").alias("w_block"), F.col("q_block").alias("w_q_block"))
+        rows = idx.join(wanted, (F.col("cell") == F.col("w_cell")) & (F.col("block") == F.col("w_block"))).select(*idx.columns, F.col("w_q_block").alias("q_block"))
         return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(tile, "query_id long, vec_id long, score long")
 
     q = q.select("vec_id", "vector")
-    found = search(q.mapInArrow(ask(True), ask_schema)).distinct()
+    found = search(q.mapInArrow(ask(True), ask_schema))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     floors = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "score")
     asked = q.join(floors, q.vec_id == F.col("query_id"), "left").select("vec_id", "vector", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("floor"))
-    found = search(asked.mapInArrow(ask(False), ask_schema)).distinct()
+    found = search(asked.mapInArrow(ask(False), ask_schema))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
