@@ -26,6 +26,8 @@ from ._util import tidy
 
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE = 20_000
+#: Terms whose pairs are looked at.
+MOST_PAIRED = 2048
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -74,14 +76,66 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.raw(hashes), -30, 30))))
 
 
+def pair_terms(row: np.ndarray, at: np.ndarray, df: np.ndarray, y: np.ndarray, most: int = MOST_PAIRED, z: float = 5.7) -> np.ndarray:
+    """Which terms tell something together that they don't tell alone: an insult only beside a mention, or one word without another.
+
+    Of the ``most`` terms in the most rows, all pairs' toxic counts are compared
+    with what the two members' own shares give if their log odds add up.  ``z``
+    standard errors leave a fiftieth of a pair by chance.  ``row``, ``at``: cells.
+    """
+    out = np.zeros(len(df), bool)
+    top = np.argsort(-df, kind="stable")[:most]
+    top = top[df[top] >= 8]
+    if len(top) < 2:
+        return out
+    place = np.full(len(df), -1)
+    place[top] = np.arange(len(top))
+    inside = place[at] >= 0
+    row, at = row[inside], place[at[inside]]
+    both, bad = np.zeros((len(top), len(top)), np.float32), np.zeros((len(top), len(top)), np.float32)
+    for lo in range(0, len(y), 4096):
+        here = (row >= lo) & (row < lo + 4096)
+        x = np.zeros((min(4096, len(y) - lo), len(top)), np.float32)
+        x[row[here] - lo, at[here]] = 1
+        both += x.T @ x
+        bad += x.T @ (x * y[lo : lo + 4096, None].astype(np.float32))
+    share = y.mean()
+    odds = lambda p: np.log(p / (1 - p))
+    n = np.diag(both)
+    own = odds((np.diag(bad) + share) / (n + 1)) - odds(share)
+    expected = 1 / (1 + np.exp(-(odds(share) + own[:, None] + own)))
+    error = np.sqrt(both * expected * (1 - expected) + 1)
+    tells = (np.abs(bad - both * expected) > z * error) & (both >= 8)
+    np.fill_diagonal(tells, False)
+    out[top[tells.any(1)]] = True
+    return out
+
+
+def gradient(t: np.ndarray, where: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, v: np.ndarray, b: float):
+    """Mean weighted logistic loss of a batch and its gradient: (loss, used terms, by weight, by factors, by bias).
+
+    ``t``, ``where``: terms and rows of the batch's cells.
+    """
+    n, rank = len(y), v.shape[1]
+    vt = v[t]
+    s = np.stack([np.bincount(where, vt[:, k], n) for k in range(rank)], 1)
+    raw = b + np.bincount(where, w[t], n) + 0.5 * ((s * s).sum(1) - np.bincount(where, (vt * vt).sum(1), n))
+    g = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / n
+    used, inv = np.unique(t, return_inverse=True)
+    gt = g[where]
+    loss = (weight * (np.logaddexp(0, raw) - y * raw)).sum() / n
+    return loss, used, np.bincount(inv, gt, len(used)), np.stack([np.bincount(inv, gt * (s[where, k] - vt[:, k]), len(used)) for k in range(rank)], 1), g.sum()
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 30, rate: float = 0.5, l2: float = 1e-2, seed: int = 5) -> Model:
     """Fit by Adagrad on minibatches of the logistic loss.
 
-    Terms in one row are left out, and so are terms whose share among toxic rows
-    is within 3.5 standard errors of all rows': their weights would be noise that
-    adds up in long texts.  Toxic rows weigh as much in all as the others.
-    Without both labels, or without terms, every text gets the (smoothed) share
-    of toxic rows.
+    Terms in one row are left out.  Of the others those enter whose share among
+    toxic rows is more than 3.5 standard errors from all rows', and those that
+    tell something in a pair (:func:`pair_terms`), whatever their own share: the
+    rest would be noise that adds up in long texts.  Toxic rows weigh as much in
+    all as the others.  Without both labels, or without terms, every text gets
+    the (smoothed) share of toxic rows.
     """
     y = np.asarray(labels, np.float64)
     none = Model(np.empty(0, np.uint32), np.empty(0), np.empty((0, rank)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
@@ -93,6 +147,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int
     share = y.mean()
     z = np.abs(toxic - df * share) / np.sqrt(df * share * (1 - share))
     keep = (df >= 2) & (z > 3.5)
+    keep |= pair_terms(np.repeat(np.arange(len(y)), lens), at, df, y)
     if not keep.any():
         return none
     new = np.cumsum(keep) - 1
@@ -111,36 +166,31 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int
             size = starts[batch + 1] - starts[batch]
             where = np.repeat(np.arange(len(batch)), size)
             cell = np.repeat(starts[batch] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            t = at[cell]
-            vt = v[t]
-            s = np.stack([np.bincount(where, vt[:, k], len(batch)) for k in range(rank)], 1)
-            raw = b + np.bincount(where, w[t], len(batch)) + 0.5 * ((s * s).sum(1) - np.bincount(where, (vt * vt).sum(1), len(batch)))
-            g = weight[batch] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[batch]) / len(batch)
-            used, inv = np.unique(t, return_inverse=True)
-            gt = g[where]
-            dw = np.bincount(inv, gt, len(used)) + l2 / len(batch) * w[used]
-            dv = np.stack([np.bincount(inv, gt * (s[where, k] - vt[:, k]), len(used)) for k in range(rank)], 1) + l2 / len(batch) * v[used]
+            _, used, dw, dv, db = gradient(at[cell], where, y[batch], weight[batch], w, v, b)
+            dw, dv = dw + l2 / len(batch) * w[used], dv + l2 / len(batch) * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
-            gb += g.sum() ** 2
+            gb += db**2
             w[used] -= rate * dw / np.sqrt(gw[used])
             v[used] -= 0.1 * rate * dv / np.sqrt(gv[used])
-            b -= rate * g.sum() / np.sqrt(gb)
+            b -= rate * db / np.sqrt(gb)
     return Model(terms[keep], w, v, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the ``sample`` rows of smallest id hash of ``docs`` joined to ``labels`` (doc_id, toxic).
 
-    Rows without text or with a null label are left out; a doc_id that either
-    table repeats gives a row for each pair.  Texts become term hashes before
-    they reach the driver.
+    Rows without text or with a null label are left out; of rows that repeat a
+    doc_id, in either table, one is taken.  Texts become term hashes before they
+    reach the driver, at most ``sample`` rows.
     """
     import pyarrow as pa
 
     lab = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("l_doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    lab = lab.select("l_doc_id", "toxic", F.xxhash64("l_doc_id").alias("h")).orderBy("h", "l_doc_id", "toxic").limit(sample)
-    rows = docs.where("text is not null").select("doc_id", "text").join(lab, F.col("doc_id") == F.col("l_doc_id")).select("h", "doc_id", "toxic", "text")
+    lab = lab.groupBy("l_doc_id").agg(F.max("toxic").alias("toxic"))
+    lab = lab.select("l_doc_id", "toxic", F.xxhash64("l_doc_id").alias("h")).orderBy("h", "l_doc_id").limit(sample)
+    rows = docs.where("text is not null").select("doc_id", "text").join(lab, F.col("doc_id") == F.col("l_doc_id"))
+    rows = rows.groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Terms()
