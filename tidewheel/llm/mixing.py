@@ -176,9 +176,15 @@ def draws(blocks: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def per_document(blocks: DataFrame, sources: DataFrame) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` (words drawn, repeats counted) of every document."""
-    g = blocks.groupBy("row", "doc_id", "sid", "size").agg(F.sum(F.col("words") * F.size("shards")).alias("taken"))
-    return g.join(sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` (words of its draws, repeats counted), ``n_draws`` and ``n_shards`` (different ones) of every document.
+
+    All but the sizes and targets come from the draws of the splitting tree.
+    """
+    d = draws(blocks).groupBy("row").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_draws"), F.count_distinct("shard").alias("n_shards")).withColumnRenamed("row", "d_row")
+    whole = blocks.where("block = 0").select("row", "doc_id", "sid", "size")
+    g = whole.join(d, F.col("row") == F.col("d_row"), "left").join(sources.select(F.col("sid").alias("s_sid"), "source_size", "target"), F.col("sid") == F.col("s_sid"))
+    none = F.lit(0).cast("long")
+    return g.select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("n_draws", none).alias("n_draws"), F.coalesce("n_shards", none).alias("n_shards"))
 
 
 def mixed_documents(docs: DataFrame, shards: int = 16, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
@@ -192,10 +198,12 @@ def mixed_documents(docs: DataFrame, shards: int = 16, weights: tuple = WEIGHTS,
     drawn = F.sort_array(F.collect_list(F.struct("shard", "place", "copy"))).alias("t_draws")
     taken = draws(blocks, seed).groupBy("doc_id", "sid").agg(drawn).join(sources.select("sid", "source"), "sid")
     taken = taken.select(F.col("doc_id").alias("t_doc_id"), F.col("source").alias("t_source"), "t_draws")
-    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("source").eqNullSafe(F.col("t_source")))
-    same = Window.partitionBy("doc_id", "source").orderBy("text")
-    kept = kept.withColumn("_rank", F.row_number().over(same) - 1).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "source")))
-    own = F.filter("t_draws", lambda x, i: i % F.col("_rows") == F.col("_rank"))
-    kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(own).alias("_draw"))
-    kept = kept.repartition(F.col("_draw.shard")).sortWithinPartitions("_draw.shard", "_draw.place", "doc_id", "text")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a document's own columns stay in a struct, so their names can't clash with those needed here
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").alias("o_doc_id"), F.col("source").cast("string").alias("o_source"), F.col("text").cast("string").alias("o_text"))
+    kept = own.join(taken, F.col("o_doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("o_source").eqNullSafe(F.col("t_source")))
+    same = Window.partitionBy("o_doc_id", "o_source")
+    kept = kept.withColumn("o_rank", F.row_number().over(same.orderBy("o_text")) - 1).withColumn("o_rows", F.count(F.lit(1)).over(same))
+    mine = F.filter("t_draws", lambda x, i: i % F.col("o_rows") == F.col("o_rank"))
+    kept = kept.select("whole", "o_doc_id", "o_text", F.explode(mine).alias("draw"))
+    kept = kept.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place", "o_doc_id", "o_text")
+    return kept.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
