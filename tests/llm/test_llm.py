@@ -732,3 +732,21 @@ def brute_targets(total, weights=(3, 1, 2), share=1.5, cap=2.0):
             left -= out[s]
         open_ -= full
     return out
+
+
+def test_screen_of_many_tiles_equals_brute_force():
+    """Members that have a near partner, for tiles of one block and of two."""
+    rng = np.random.default_rng(6)
+    tile = np.sort(rng.integers(0, 12, 90))
+    two = rng.integers(0, 2, 12).astype(bool)
+    side = np.where(two[tile], rng.integers(0, 2, 90), 0)
+    words = rng.integers(-(2**63), 2**63, (90, 4))
+    words[1:30] = words[0]
+    bits = lambda a, b: sum(int(x).bit_count() for x in (words[a] ^ words[b]).view(np.uint64))
+    want = [any(tile[a] == tile[b] and a != b and (not (side[tile == tile[a]] == 1).any() or side[a] != side[b]) and bits(a, b) <= 120 for b in range(90)) for a in range(90)]
+    assert cap_dedup._near(tile, side, words, 120).tolist() == want
+
+
+def test_embeddings_of_an_empty_table(spark):
+    v = spark.createDataFrame([], "vec_id long, embedding array<float>, caps int, `row` string")
+    assert cap_dedup.near_duplicates(v).count() == 0

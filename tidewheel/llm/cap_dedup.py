@@ -5,8 +5,9 @@ rotation, then blocks of coordinates with their own random unit vectors; a
 direction is one vector from each block.  A vector is list-decoded to all
 directions whose inner product with it exceeds a threshold (a spherical cap):
 blocks are combined one by one, and partial sums that can't reach it any more
-are dropped.  Vectors join on shared directions; pairs are verified by their
-cosine in double precision.
+are dropped.  Vectors join on shared directions; there sketches of random
+planes' sides rule most pairs out before vectors travel, and the rest are
+verified by their cosine in double precision.
 
 The threshold is set so that a random vector is in ``lists`` caps on average; a
 vector far from all directions lowers its own until it is in that many.  A pair
@@ -19,13 +20,15 @@ in one block only and aren't independent filters.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import connected_components, cut
+from ._util import connected_components, cut, parts, tidy, tidy_group
 
 BLOCK = 256
 #: Directions of small tables, and inner products with words held at once.
@@ -112,6 +115,56 @@ def plan(directions: int, lists: float, blocks: int) -> tuple[int, float]:
     return int(np.ceil(directions ** (1 / blocks))), lists * max(1.0, directions / LEAST) ** (1 / 12)
 
 
+#: Bits of a vector's sketch.
+BITS = 256
+
+
+@functools.cache
+def _planes(dim: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim, BITS]).standard_normal((dim, BITS))
+
+
+def sketches(unit: np.ndarray, seed: int) -> np.ndarray:
+    """Sides of ``BITS`` random planes, as four 64-bit words a vector."""
+    return np.packbits(unit @ _planes(unit.shape[1], seed) > 0, axis=1).view(np.int64)
+
+
+def most_bits(cosine: float) -> int:
+    """Bits in which sketches of a pair at this cosine differ, and five standard deviations: one pair in 3 million is lost."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return int(BITS * p + 5 * math.sqrt(BITS * p * (1 - p)))
+
+
+def _near(tile: np.ndarray, side: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+    """Which members of many tiles have a partner in their tile whose sketch is near; ``tile`` is sorted.
+
+    Members of a tile of one block are all partners; of two, those of the other
+    side.  Pairs are made a stretch at a time.
+    """
+    n = len(tile)
+    hit = np.zeros(n, bool)
+    first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+    size = np.diff(np.append(first, n))
+    end = np.repeat(first + size, size)
+    later = end - np.arange(n) - 1  # partners that come after
+    two = np.repeat(np.logical_or.reduceat(side == 1, first), size) if n else np.empty(0, bool)
+    lo = 0
+    before = np.concatenate([[0], np.cumsum(later)])
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(before, before[lo] + CELLS // 4, "right")) - 1)
+        a = np.repeat(np.arange(lo, hi), later[lo:hi])
+        b = a + 1 + np.arange(len(a)) - np.repeat(before[lo:hi] - before[lo], later[lo:hi])
+        keep = ~two[a] | (side[a] != side[b])
+        a, b = a[keep], b[keep]
+        apart = np.zeros(len(a), np.int64)
+        for w in range(words.shape[1]):
+            apart += np.bitwise_count(words[a, w] ^ words[b, w])
+        near = apart <= most
+        hit[a[near]] = hit[b[near]] = True
+        lo = hi
+    return hit
+
+
 def _tile(x: np.ndarray, lists: list[np.ndarray], cap: int, left: np.ndarray, right: np.ndarray, within: bool, least: float) -> np.ndarray:
     """Symmetric link matrix of a tile; a pair that already meets in a smaller cap is left to that one."""
     n = len(x)
@@ -160,10 +213,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: float = 24.0
     Links are pairs found with the cosine in double precision at ``cosine`` or
     more; none below it.  Filters may miss pairs: measured recall is in the README.
 
-    Shuffles: (row, cap) pairs to count caps; vectors to their caps, in blocks of
-    at most 256 rows, so a cap that holds a third of all vectors becomes many
-    tiles.  A pair is counted in its smallest common cap only, and tiles return
-    counts and spanning forests, never all pairs.
+    Shuffles: (row, cap) pairs to count caps; 256-bit sketches to their caps, in
+    blocks of at most 256 rows, so a cap that holds a third of all vectors becomes
+    many tiles; vectors only to tiles in which a sketch is near theirs.  A pair is
+    counted in its smallest common cap only, and tiles return counts and spanning
+    forests, never all pairs.
     """
     import pyarrow as pa
 
@@ -174,7 +228,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: float = 24.0
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.num_rows
-            unit, caps = [None] * size, [None] * size
+            unit, caps, words_of = [None] * size, [None] * size, np.zeros((size, BITS // 64), np.int64)
             by_dim: dict[int, list[int]] = {}
             rows = batch.column(1)
             lens = rows.value_lengths().to_pylist()
@@ -190,18 +244,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: float = 24.0
                 if not len(at):
                     continue
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
+                words_of[at] = sketches(x, seed)
                 for i, u, f in zip(at.tolist(), x, _code(d, words, blocks, caps_each, seed).decode(x), strict=True):
                     unit[i], caps[i] = u.tobytes(), f + (d << 44)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, pa.binary()), pa.array(caps, pa.list_(pa.int64()))], ["vec_id", "unit", "caps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, pa.binary()), pa.array(caps, pa.list_(pa.int64())), *[pa.array(w) for w in words_of.T]], ["vec_id", "unit", "caps", *sketch])
 
-    v = cut(v.mapInArrow(decode, "vec_id long, unit binary, caps array<long>")).withColumn("row", F.monotonically_increasing_id())
-    pairs = v.select("row", F.explode("caps").alias("cap"))
+    sketch = [f"s{i}" for i in range(BITS // 64)]
+    v = cut(v.mapInArrow(tidy(decode), "vec_id long, unit binary, caps array<long>, " + ", ".join(f"{c} long" for c in sketch))).withColumn("row", F.monotonically_increasing_id())
+    pairs = v.select("row", *sketch, F.explode("caps").alias("cap"))
     full = pairs.groupBy("cap").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("cap", "f_cap")
     pairs = pairs.join(full, F.col("cap") == F.col("f_cap")).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     pairs = pairs.withColumn("b", F.pmod(F.xxhash64("row"), F.col("nb")).cast("int"))
-    pairs = pairs.select(F.col("row").alias("p_row"), "cap", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    pairs = pairs.select("p_row", "cap", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("o") < F.col("b")).cast("int").alias("side"))
-    tiles = pairs.join(v, F.col("p_row") == F.col("row")).select("cap", "i", "j", "side", "row", "unit", "caps")
+    pairs = pairs.select("row", *sketch, "cap", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    # many tiles are one task's group: a tile by itself is a few rows
+    many = parts(vectors.sparkSession, 4)
+    pairs = pairs.select(F.pmod(F.xxhash64("cap", F.least("b", "o"), F.greatest("b", "o")), F.lit(many)).cast("int").alias("group"), "cap", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("o") < F.col("b")).cast("int").alias("side"), "row", *sketch)
+    most = most_bits(cosine)
+
+    def screen(table):
+        cap, i, j, side = (np.asarray(table.column(c)) for c in ("cap", "i", "j", "side"))
+        order = np.lexsort((j, i, cap))
+        cap, i, j, side = cap[order], i[order], j[order], side[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (cap[1:] != cap[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        words_ = np.stack([np.asarray(table.column(c))[order] for c in sketch], 1)
+        hit = _near(np.cumsum(new), side, words_, most)
+        return pa.table([pa.array(x[hit]) for x in (cap, i, j, side, np.asarray(table.column("row"))[order])], ["cap", "i", "j", "side", "p_row"])
+
+    kept = pairs.groupBy("group").applyInArrow(tidy_group(screen), "cap long, i int, j int, side int, p_row long")
+    tiles = kept.join(v.select("row", "unit", "caps"), F.col("p_row") == F.col("row")).select("cap", "i", "j", "side", "row", "unit", "caps")
 
     def compare(key, table):
         row, side = (np.array(table.column(c)) for c in ("row", "side"))
@@ -215,7 +286,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: float = 24.0
         a, b = [int(row[i]) for i, _ in edges], [int(row[j]) for _, j in edges]
         return pa.table([pa.array([*row[got].tolist(), *a], pa.int64()), pa.array([*counts[got].tolist(), *[0] * len(a)], pa.int64()), pa.array([*[None] * len(got), *b], pa.int64())], ["row", "links", "partner"])
 
-    found = cut(tiles.groupBy("cap", "i", "j").applyInArrow(compare, "row long, links long, partner long"))
+    found = cut(tiles.groupBy("cap", "i", "j").applyInArrow(tidy_group(compare), "row long, links long, partner long"))
     links = found.groupBy("row").agg(F.sum("links").alias("links")).withColumnRenamed("row", "l_row")
     comps = connected_components(found.where("partner is not null").select(F.col("row").alias("a"), F.col("partner").alias("b")))
     ids = comps.join(v.select("row", "vec_id"), F.col("node") == F.col("row"))
