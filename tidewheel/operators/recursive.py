@@ -20,13 +20,16 @@ class RecursionLimit(RuntimeError):
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names for checkpoints; a local one only where it names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None)
+    """Use the folder the session names for checkpoints; a local one only where there is one machine and it names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not place:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             place = tempfile.mkdtemp(prefix="tidewheel-")
             atexit.register(shutil.rmtree, place, True)
-        spark.sparkContext.setCheckpointDir(place)
+        sc.setCheckpointDir(place)
 
 
 def written(df: DataFrame) -> DataFrame:
