@@ -158,7 +158,7 @@ def _near(tile: np.ndarray, side: np.ndarray, words: np.ndarray, most: int) -> n
         a, b = a[keep], b[keep]
         apart = np.zeros(len(a), np.int64)
         for w in range(words.shape[1]):
-            apart += np.bitwise_count(words[a, w] ^ words[b, w])
+            apart += np.bitwise_count((words[a, w] ^ words[b, w]).view(np.uint64))
         near = apart <= most
         hit[a[near]] = hit[b[near]] = True
         lo = hi
