@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import inspect
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests) a new local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a new local one only where there is one machine, as in tests."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if not conf:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             conf = tempfile.mkdtemp(prefix="tidewheel-")
             atexit.register(shutil.rmtree, conf, True)
         sc.setCheckpointDir(conf)
@@ -32,26 +35,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+_LEAN: list = []
+
+
+def _lean() -> Callable[[], None]:
+    """Make this worker give freed memory back: large blocks are mapped on their own, Arrow keeps no pool; returns a trim."""
+    if not _LEAN:
+        import pyarrow as pa
+
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # a fixed threshold, as the dynamic one grows with what is freed
+            libc.mallopt(-1, 1 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(libc, "malloc_trim", None)
+        _LEAN.append((lambda: trim(0)) if trim else (lambda: None))
+    return _LEAN[0]
+
+
 def tidy(run: Callable) -> Callable:
     """A task's function over Arrow batches that gives freed memory back to the system when it ends, as workers are used again."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        trim = _lean()
         try:
             yield from run(batches)
         finally:
-            import pyarrow as pa
-
             gc.enable()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return wrapped
 
 
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function of a group: Spark counts its parameters, one or two."""
+
+    def call(*tables):
+        trim = _lean()
+        try:
+            return run(*tables)
+        finally:
+            trim()
+
+    def one(table):
+        return call(table)
+
+    def two(first, second):
+        return call(first, second)
+
+    return one if len(inspect.signature(run).parameters) == 1 else two
+
+
 def parts(spark: SparkSession, factor: int = 1) -> int:
     """Number of buckets for hash-packed shuffles: follows the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * factor

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import connected_components, cut, parts, tidy
+from ._util import connected_components, cut, parts, tidy, tidy_group
 
 #: Bounds of a tile's block.
 BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 21
@@ -298,7 +298,7 @@ def shared_keys(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(f) for f in found])), pa.array(x.astype(np.int64))], ["mark", "key"])
 
     packed = sets.where("keys is not null").select("mark", "keys").mapInArrow(tidy(pack), "bucket long, keys binary, low binary, marks binary")
-    across = packed.groupBy("bucket").applyInArrow(match, "mark long, key long")
+    across = packed.groupBy("bucket").applyInArrow(tidy_group(match), "mark long, key long")
     return sets.where("shared is not null").select("mark", "shared").mapInArrow(own, "mark long, key long").union(across)
 
 
@@ -360,8 +360,8 @@ def block_tiles(placed: DataFrame) -> DataFrame:
 
     shares = placed.groupBy("grp").agg(F.max("blocks").alias("shares")).withColumnRenamed("grp", "s_grp")
     dealt = placed.join(shares, F.col("grp") == F.col("s_grp")).select("grp", "band", "block", "keys", "shares")
-    dealt = dealt.groupBy("grp", "band", "block").applyInArrow(gather, "grp long, share long, band long, block int, keys binary")
-    return dealt.groupBy("grp", "share").applyInArrow(meet, "grp long, band long, i int, above int, j int").distinct()
+    dealt = dealt.groupBy("grp", "band", "block").applyInArrow(tidy_group(gather), "grp long, share long, band long, block int, keys binary")
+    return dealt.groupBy("grp", "share").applyInArrow(tidy_group(meet), "grp long, band long, i int, above int, j int").distinct()
 
 
 def _links_in_tile(sizes, maps, arrays, weight, left, right, same, num, den, count=True):
@@ -489,7 +489,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
         cols = [*[table.column(c).filter(pa.array(hit)) for c in own], *[pa.array([k.as_py()] * n_hit, pa.int64() if x < 2 else pa.int32()) for x, k in enumerate(key)], pa.array(side[hit], pa.int32())]
         return pa.table(cols, [*own, *keys, "side"])
 
-    m = m.groupBy(*keys).applyInArrow(screen, "cls long, digest binary, rep long, copies long, grp long, band long, i int, above int, j int, side int")
+    m = m.groupBy(*keys).applyInArrow(tidy_group(screen), "cls long, digest binary, rep long, copies long, grp long, band long, i int, above int, j int, side int")
     m = m.groupBy(*own, "grp").agg(F.collect_list(F.struct("band", "i", "above", "j", "side")).alias("tiles"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     m = texts.join(m.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("cls", "text", "copies", "grp", "tiles", "digest")
@@ -526,7 +526,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
             [pa.array([*ids[got].tolist(), *map(int, a)], pa.int64()), pa.array([*counts[got].tolist(), *[0] * len(a)], pa.int64()), pa.array([*[None] * len(got), *map(int, b)], pa.int64())], ["cls", "links", "partner"]
         )
 
-    found = cut(m.groupBy("grp", "band", "i", "above", "j").applyInArrow(compare, "cls long, links long, partner long"))
+    found = cut(m.groupBy("grp", "band", "i", "above", "j").applyInArrow(tidy_group(compare), "cls long, links long, partner long"))
     linked = found.groupBy("cls").agg(F.sum("links").alias("links")).withColumnRenamed("cls", "l_cls")
     edges = found.where("partner is not null").select(F.col("cls").alias("a"), F.col("partner").alias("b"))
     of_row = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))

@@ -16,7 +16,8 @@ partner are sorted:
    is still tied.  Suffixes that meet in a leaf are repeated.
 4. An anchor with very many occurrences (the edge of a passage that a third of
    all documents quote has a different context in each) is split first: its
-   windows are dealt by their own hash instead, so no task gets them together.
+   windows are dealt by their own 128-bit digest instead, so no task gets them
+   together; two different ones fall together with probability 2**-128.
 
 Texts are dealt to buckets by a hash of the row, so that every step is a join
 of bounded buckets; what travels besides texts is packed into a row for each
@@ -32,15 +33,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, parts
+from ._util import cut, parts, tidy, tidy_group
 
 LENGTH, GRAM, SHALLOW = 200, 64, 24
 #: Occurrences from which an anchor is split by window; bytes of text hashed at a time; anchors held before packing;
 #: bytes of a document hashed at once.
 HOT, CHUNK, FLUSH, MOST = 256, 1 << 20, 1 << 20, 1 << 24
+#: Where counts stop: well above ``HOT``, and what is asked of them is whether they reach 2 or ``HOT``.
+MANY = (1 << 16) - 1
 
-_BYTES = np.frombuffer(hashlib.shake_128(b"byte values").digest(2048), np.uint64)
-_ODD = np.frombuffer(hashlib.shake_128(b"multipliers").digest(128), np.uint64) | np.uint64(1)
+#: Two hash functions: values of bytes, and odd multipliers.
+_TABLES = [(np.frombuffer(hashlib.shake_128(b"byte values" + x).digest(2048), np.uint64), np.frombuffer(hashlib.shake_128(b"multipliers" + x).digest(128), np.uint64) | np.uint64(1)) for x in (b"", b" again")]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,21 +51,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _string_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of all ``length``-byte strings of ``data``, by doubling."""
-    out, done, h, size, level = None, 0, _BYTES[data], 1, 0
+def _string_hashes(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """64-bit hashes of all ``length``-byte strings of ``data``, by doubling; ``which`` of two functions."""
+    of_byte, odd = _TABLES[which]
+    out, done, h, size, level = None, 0, of_byte[data], 1, 0
     while True:
         if length & size:
             if out is None:
                 out = h
             else:
-                out = out[: len(data) - length + 1] * _ODD[8 + level] + h[done : done + len(data) - length + 1]
+                out = out[: len(data) - length + 1] * odd[8 + level] + h[done : done + len(data) - length + 1]
                 out ^= out >> np.uint64(32)
             done += size
         if done == length:
             return _mix(out[: len(data) - length + 1])
         m = len(h) - size
-        h = h[:m] * _ODD[level] + h[size:]
+        h = h[:m] * odd[level] + h[size:]
         h ^= h >> np.uint64(32)
         size, level = 2 * size, level + 1
 
@@ -209,12 +213,41 @@ def repeated_suffixes(data: bytes, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _window_hashes(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of many contexts, and how many each has."""
+#: A window's digest: two hashes of independent tables.
+DIGEST = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _window_digests(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of all windows of many contexts, and how many each has."""
     n = np.array([len(x) - LENGTH + 1 for x in contexts])
     ends = np.cumsum(n + LENGTH - 1)
-    h = _string_hashes(np.frombuffer(b"".join(contexts), np.uint8), LENGTH)
-    return h[np.repeat(ends - np.cumsum(n) - (LENGTH - 1), n) + np.arange(n.sum())], n
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    at = np.repeat(ends - np.cumsum(n) - (LENGTH - 1), n) + np.arange(n.sum())
+    out = np.empty(len(at), DIGEST)
+    out["a"], out["b"] = _string_hashes(data, LENGTH)[at], _string_hashes(data, LENGTH, 1)[at]
+    return out, n
+
+
+def _distinct(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct digests and how often each occurs."""
+    order = np.lexsort((x["b"], x["a"]))
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    times = np.bincount(np.cumsum(new) - 1, None if weight is None else weight[order], int(new.sum())) if len(x) else np.empty(0, np.int64)
+    return x[new], times.astype(np.int64)
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which digests are in ``known``, sorted and distinct."""
+    out = np.zeros(len(x), bool)
+    if not len(known):
+        return out
+    lo, hi = np.searchsorted(known["a"], x["a"], "left"), np.searchsorted(known["a"], x["a"], "right")
+    for step in range(int((hi - lo).max(initial=0))):  # one, but for equal first halves
+        at = np.minimum(lo + step, len(known) - 1)
+        out |= (lo + step < hi) & (known[at] == x)
+    return out
 
 
 def _digest(context: bytes) -> bytes:
@@ -269,7 +302,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
             at = np.flatnonzero(new)
-            n = np.minimum(np.diff(np.append(at, len(h))), 255).astype(np.uint8)
+            n = np.minimum(np.diff(np.append(at, len(h))), MANY).astype(np.uint16)
             names, (a, b, c) = _pack((_mix(h[at]) % np.uint64(n_keys)).astype(np.int64), h[at], r[at].astype(np.int32), n)
             hashes.clear(), rows.clear()
             held = 0
@@ -288,7 +321,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             yield flush()
 
     def match(table):
-        h, r, n = _numbers(table.column("hashes"), np.uint64), _numbers(table.column("rows"), np.int32), _numbers(table.column("counts"), np.uint8)
+        h, r, n = _numbers(table.column("hashes"), np.uint64), _numbers(table.column("rows"), np.int32), _numbers(table.column("counts"), np.uint16)
         u, inv = np.unique(h, return_inverse=True)
         total = np.bincount(inv, n, len(u))
         again = total[inv] >= 2
@@ -297,7 +330,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         names, (a, b) = _pack(pairs[0].astype(np.int64), pairs[1], hot)
         return pa.table([pa.array(names, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["bucket", "hashes", "hot"])
 
-    repeated = base.select("bucket", "data").mapInArrow(find, "key int, hashes binary, rows binary, counts binary").groupBy("key").applyInArrow(match, "bucket int, hashes binary, hot binary")
+    repeated = base.select("bucket", "data").mapInArrow(tidy(find), "key int, hashes binary, rows binary, counts binary").groupBy("key").applyInArrow(tidy_group(match), "bucket int, hashes binary, hot binary")
     repeated = cut(repeated)
 
     def contexts(texts: list[bytes], wanted: np.ndarray, hot: np.ndarray):
@@ -332,14 +365,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         for k, xs in by.items():
             rows.append((k, 0, me, np.array([x[0] for x in xs], np.uint64).tobytes(), np.array([len(x[1]) for x in xs], np.int32).tobytes(), np.minimum([x[2] for x in xs], 255).astype(np.uint8).tobytes(), b"".join(x[1] for x in xs)))
         if split:
-            w, n = np.unique(_window_hashes(split)[0], return_counts=True)
-            names, (a, b) = _pack((_mix(w) % np.uint64(n_keys)).astype(np.int64), w, np.minimum(n, 255).astype(np.uint8))
+            w, n = _distinct(_window_digests(split)[0])
+            names, (a, b) = _pack((_mix(w["a"]) % np.uint64(n_keys)).astype(np.int64), w, np.minimum(n, 2).astype(np.uint8))
             rows += [(k, 1, me, x, None, y, None) for k, x, y in zip(names, a, b, strict=True)]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         cols = [*zip(*rows, strict=True)] or [[]] * 7
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "split", "bucket", "hashes", "sizes", "counts", "data"])
 
-    found = repeated.groupBy("bucket").cogroup(base.select("bucket", "data").groupBy("bucket")).applyInArrow(collect, ctx_schema)
+    found = repeated.groupBy("bucket").cogroup(base.select("bucket", "data").groupBy("bucket")).applyInArrow(tidy_group(collect), ctx_schema)
 
     verdict_schema = "bucket int, split int, hashes binary, digests binary, masks binary"
 
@@ -350,12 +383,11 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         cols = {c: table.column(c).to_pylist() for c in ("hashes", "sizes", "counts", "data")}
         parts_ = np.flatnonzero(split == 1).tolist()
         if parts_:
-            w = [np.frombuffer(cols["hashes"][i], np.uint64) for i in parts_]
-            u, inv = np.unique(np.concatenate(w), return_inverse=True)
-            total = np.bincount(inv, np.concatenate([np.frombuffer(cols["counts"][i], np.uint8) for i in parts_]), len(u))
+            w = [np.frombuffer(cols["hashes"][i], DIGEST) for i in parts_]
+            u, total = _distinct(np.concatenate(w), np.concatenate([np.frombuffer(cols["counts"][i], np.uint8) for i in parts_]))
             again = u[total >= 2]
             for i, x in zip(parts_, w, strict=True):
-                got = x[np.isin(x, again, assume_unique=True)]
+                got = x[_among(x, again)]
                 if len(got):
                     rows.append((buckets[i], 1, got.tobytes(), None, None))
         seen: dict[tuple[int, bytes], list] = {}
@@ -402,24 +434,25 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         cols_ = [*zip(*rows, strict=True)] or [[]] * 5
         return pa.table([pa.array(c, k) for c, k in zip(cols_, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["bucket", "split", "hashes", "digests", "masks"])
 
-    verdicts = found.groupBy("key").applyInArrow(judge, verdict_schema)
+    verdicts = found.groupBy("key").applyInArrow(tidy_group(judge), verdict_schema)
     # what is hot in a bucket is needed again to find its windows
     flags = repeated.select("bucket", F.lit(2).alias("split"), "hashes", F.col("hot").alias("digests"), F.lit(None).cast("binary").alias("masks"))
     verdicts = verdicts.union(flags)
 
-    out_schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
-    if keep_text:
-        out_schema += ", whole " + base.schema["whole"].dataType.simpleString()
+    from pyspark.sql import types as T
+
+    fields = [*[T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")], *[T.StructField(c, T.StringType()) for c in ["kept_sha256"] + ["kept"] * keep_text], *([base.schema["whole"]] if keep_text else [])]
+    out_schema = T.StructType(fields)
 
     def cover(left, right):
-        names = [x.split()[0] for x in out_schema.split(", ")[: 6 if keep_text else 5]] + (["whole"] if keep_text else [])
+        names = [f.name for f in fields]
         if not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, [pa.int64()] * 4 + [pa.string()] * (2 if keep_text else 1), strict=False)}) if not keep_text else pa.table({n: pa.array([], t) for n, t in zip(names, [*[pa.int64()] * 4, pa.string(), pa.string(), right.column("whole").type], strict=True)})
-        mask_of, windows, wanted, hot = {}, [np.empty(0, np.uint64)], np.empty(0, np.uint64), np.empty(0, np.uint8)
+        mask_of, windows, wanted, hot = {}, [np.empty(0, DIGEST)], np.empty(0, np.uint64), np.empty(0, np.uint8)
         judged = [np.empty(0, np.uint64)]
         for split, h, d, m in zip(*(left.column(c).to_pylist() for c in ("split", "hashes", "digests", "masks")), strict=True):
             if split == 1:
-                windows.append(np.frombuffer(h, np.uint64))
+                windows.append(np.frombuffer(h, DIGEST))
             elif split == 0:
                 judged.append(np.frombuffer(h, np.uint64))
                 for i in range(len(d) // 16):
@@ -429,7 +462,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         use = (hot == 1) & (sum(map(len, windows)) > 0) | np.isin(wanted, np.concatenate(judged))
         wanted, hot = wanted[use], hot[use]
         order = np.argsort(wanted)
-        wanted, hot, windows = wanted[order], hot[order], np.unique(np.concatenate(windows))
+        wanted, hot, windows = wanted[order], hot[order], _distinct(np.concatenate(windows))[0]
         texts = right.column("data").to_pylist()
         marks: dict[int, list[np.ndarray]] = {}
         split: list[tuple[int, int, bytes]] = []
@@ -441,8 +474,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 m = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
                 marks.setdefault(doc, []).append(at + np.flatnonzero(m))
         if split and len(windows):
-            w, n = _window_hashes([x[2] for x in split])
-            m = windows[np.minimum(np.searchsorted(windows, w), len(windows) - 1)] == w
+            w, n = _window_digests([x[2] for x in split])
+            m = _among(w, windows)
             for (doc, at, _), e, size in zip(split, np.cumsum(n).tolist(), n.tolist(), strict=True):
                 if m[e - size : e].any():
                     marks.setdefault(doc, []).append(at + np.flatnonzero(m[e - size : e]))
@@ -465,4 +498,4 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         out = [right.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
         return pa.table(out + ([pa.array(kept, pa.string()), right.column("whole")] if keep_text else []), names)
 
-    return verdicts.groupBy("bucket").cogroup(base.groupBy("bucket")).applyInArrow(cover, out_schema)
+    return verdicts.groupBy("bucket").cogroup(base.groupBy("bucket")).applyInArrow(tidy_group(cover), out_schema)
