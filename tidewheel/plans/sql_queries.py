@@ -175,6 +175,12 @@ script("sql_host_functions", "SELECT n_nationkey, CAST(n_nationkey * 3 AS DOUBLE
 script("sql_host_aggregate", "SELECT n_regionkey, CAST(max(n_nationkey) - min(n_nationkey) AS DOUBLE) AS spread FROM nation GROUP BY 1", "SELECT n_regionkey, SPREAD(CAST(n_nationkey AS DOUBLE)) AS spread FROM nation GROUP BY n_regionkey", setup=lambda e: e.register_aggregate("spread", lambda x: float(x.max() - x.min())))
 script("sql_table_function", "SELECT range AS x FROM range(5) WHERE range > 1", "SELECT x FROM numbers(5) AS t WHERE x > 1", setup=lambda e: e.register_table_function("numbers", lambda spark, n: spark.range(n).withColumnRenamed("id", "x")))
 
+script("sql_right_lateral", "SELECT r_name, x.n AS n FROM region RIGHT JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) x ON x.n_regionkey = r_regionkey AND r_name <> 'ASIA'", "SELECT r_name, x.n FROM region RIGHT JOIN LATERAL (SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey) x ON x.n_regionkey = r_regionkey AND r_name <> 'ASIA'")
+script("sql_lateral_inner", "SELECT c_custkey, x.o_orderkey AS o_orderkey FROM customer JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30) x ON true", "SELECT c_custkey, x.o_orderkey FROM customer JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30) x ON TRUE")
+script("sql_shared_subquery", "WITH spent AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT a.n AS n, count(*) AS pairs FROM spent a JOIN spent b ON a.n = b.n GROUP BY 1", "WITH spent AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT a.n, COUNT(*) AS pairs FROM spent a JOIN spent b ON a.n = b.n GROUP BY a.n")
+script("sql_gtid_subtract", "SELECT '3e11fa47-71ca-11e1-9e33-c80aa9429562:1-20:41-57' AS a, '' AS b", "SELECT GTID_SUBTRACT('3E11FA47-71CA-11E1-9E33-C80AA9429562:1-57', '3E11FA47-71CA-11E1-9E33-C80AA9429562:21-40') AS a, GTID_SUBTRACT('3E11FA47-71CA-11E1-9E33-C80AA9429562:1-3', '3e11fa47-71ca-11e1-9e33-c80aa9429562:1-9') AS b")
+script("sql_load_file", "SELECT true AS none, true AS outside", "SET secure_file_priv = '/tmp/no-such-folder'", "SELECT LOAD_FILE('/tmp/no-such-folder/x') IS NULL AS none, LOAD_FILE('/etc/hostname') IS NULL AS outside")
+script("sql_warnings", "SELECT 'Warning' AS level, CAST(1062 AS INT) AS code, '2 of 3 rows ignored: duplicate entry or no parent' AS message", "CREATE TABLE u (k INT PRIMARY KEY)", "INSERT IGNORE INTO u VALUES (1), (1), (1)", "SHOW WARNINGS")
 # --- definitions and data changes ---------------------------------------------------------------------------
 
 _copy = "CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR(30), r INT)", "INSERT INTO t SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -221,6 +227,9 @@ def refused(name: str, expected: str, before: tuple, statements: tuple, last: st
 
 refused("fk_restrict", "SELECT CAST(3 AS BIGINT) AS refused, CAST(25 AS BIGINT) AS children", (*_parent, "CREATE TABLE ch (k INT PRIMARY KEY, pid BIGINT, FOREIGN KEY (pid) REFERENCES pa (id))", "INSERT INTO ch SELECT n_nationkey, n_regionkey FROM nation"), ("UPDATE pa SET id = 100 WHERE id = 1", "DELETE FROM pa WHERE id = 1", "INSERT INTO ch VALUES (999, 999)"), "SELECT (SELECT COUNT(*) FROM refused) AS refused, COUNT(*) AS children FROM ch")
 refused("checks_and_keys", "SELECT CAST(4 AS BIGINT) AS refused, CAST(1 AS BIGINT) AS n", ("CREATE TABLE u (k INT PRIMARY KEY, v INT NOT NULL, w INT UNIQUE, CONSTRAINT big CHECK (v < 10))", "INSERT INTO u VALUES (1, 1, 1)"), ("INSERT INTO u VALUES (1, 2, 2)", "INSERT INTO u VALUES (2, 2, 1)", "INSERT INTO u VALUES (2, 20, 2)", "INSERT INTO u VALUES (2, NULL, 2)"), "SELECT (SELECT COUNT(*) FROM refused) AS refused, COUNT(*) AS n FROM u")
+refused("json_functions_refused", "SELECT CAST(4 AS BIGINT) AS n", (), ("SELECT JSON_SCHEMA_VALID('{}', '1')", "SELECT JSON_SCHEMA_VALIDATION_REPORT('{}', '1')", "SELECT JSON_STORAGE_FREE('{}')", "SELECT JSON_STORAGE_SIZE('{}')"), "SELECT COUNT(*) AS n FROM refused")
+refused("replication_refused", "SELECT CAST(6 AS BIGINT) AS n", (), ("BINLOG 'x'", "CHANGE REPLICATION FILTER x", "CHANGE REPLICATION SOURCE TO x", "RESET REPLICA", "START REPLICA", "STOP REPLICA"), "SELECT COUNT(*) AS n FROM refused")
+script("kill", "SELECT 1 AS alive", "KILL QUERY 99", "SELECT 1 AS alive")
 script("ddl_drop_check", "SELECT 20 AS v", "CREATE TABLE u (v INT, CONSTRAINT big CHECK (v < 10))", "ALTER TABLE u DROP CHECK big", "INSERT INTO u VALUES (20)", "SELECT v FROM u")
 script("ddl_add_check", "SELECT 'big' AS constraint_name, '(v < 10)' AS check_clause", "CREATE TABLE u (v INT)", "ALTER TABLE u ADD CONSTRAINT big CHECK (v < 10)", "SELECT constraint_name, check_clause FROM information_schema.check_constraints")
 script("ddl_drop_constraint", "SELECT CAST(0 AS BIGINT) AS n", "CREATE TABLE u (v INT, CONSTRAINT big CHECK (v < 10))", "ALTER TABLE u DROP CONSTRAINT big", "SELECT COUNT(*) AS n FROM information_schema.check_constraints")
@@ -300,3 +309,22 @@ for _name, (_cols, _where, _rows) in _is.items():
     script(f"is_{_name}", f"SELECT * FROM (VALUES {_rows}) t({', '.join(chr(34) + x.strip() + chr(34) for x in _cols.split(','))})", *_schema, f"SELECT {_cols} FROM information_schema.{_name} {_where}")
 _none = "administrable_role_authorizations applicable_roles column_privileges column_statistics enabled_roles events files optimizer_trace partitions plugins profiling resource_groups role_column_grants role_routine_grants role_table_grants schema_privileges tablespaces tablespaces_extensions view_routine_usage".split()
 script("is_empty_tables", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST(0 AS BIGINT))" for n in _none) + ") t(name, n)", " UNION ALL ".join(f"SELECT '{n}' AS name, COUNT(*) AS n FROM information_schema.{n}" for n in _none))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SELECT ... INTO OUTFILE and back by LOAD DATA, in the folder the executors share."""
+    import uuid
+
+    from ..operators.recursive import checkpoint_dir
+
+    e = engine(spark, sf_dir)
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4()}"
+    e.sql(f"SELECT n_nationkey, n_name, NULLIF(n_regionkey, 1) FROM nation INTO OUTFILE '{path}/a' FIELDS TERMINATED BY ',' ENCLOSED BY '\"'")
+    e.sql("CREATE TABLE back (k INT PRIMARY KEY, name VARCHAR(30), r INT, up VARCHAR(30))")
+    e.sql(f"LOAD DATA INFILE '{path}/a' INTO TABLE back FIELDS TERMINATED BY ',' ENCLOSED BY '\"' (k, name, r) SET up = UPPER(name)")
+    e.sql(f"SELECT n_name FROM nation WHERE n_nationkey = 3 INTO DUMPFILE '{path}/b'")
+    return e.sql("SELECT k, name, r, up FROM back")
+
+
+QUERIES["load_data_round_trip"], SQL["load_data_round_trip"] = _files, "SELECT n_nationkey AS k, n_name AS name, nullif(n_regionkey, 1) AS r, upper(n_name) AS up FROM nation"
