@@ -39,14 +39,14 @@ _LEAN: list = []
 
 
 def _lean() -> Callable[[], None]:
-    """Make this worker give freed memory back: large blocks are mapped on their own, Arrow keeps no pool; returns a trim."""
+    """Make this worker give freed memory back: Arrow keeps no pool, only very large blocks are mapped apart; returns a trim."""
     if not _LEAN:
         import pyarrow as pa
 
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, 1 << 20)  # a fixed threshold, as the dynamic one grows with what is freed
-            libc.mallopt(-1, 1 << 20)
+            libc.mallopt(-3, 1 << 26)  # fixed thresholds: mapping each block of some MB apart costs a page fault a page
+            libc.mallopt(-1, 1 << 28)
         pa.set_memory_pool(pa.system_memory_pool())
         trim = getattr(libc, "malloc_trim", None)
         _LEAN.append((lambda: trim(0)) if trim else (lambda: None))
