@@ -181,6 +181,28 @@ script("sql_shared_subquery", "WITH spent AS (SELECT o_custkey, count(*) AS n FR
 script("sql_gtid_subtract", "SELECT '3e11fa47-71ca-11e1-9e33-c80aa9429562:1-20:41-57' AS a, '' AS b", "SELECT GTID_SUBTRACT('3E11FA47-71CA-11E1-9E33-C80AA9429562:1-57', '3E11FA47-71CA-11E1-9E33-C80AA9429562:21-40') AS a, GTID_SUBTRACT('3E11FA47-71CA-11E1-9E33-C80AA9429562:1-3', '3e11fa47-71ca-11e1-9e33-c80aa9429562:1-9') AS b")
 script("sql_load_file", "SELECT true AS none, true AS outside", "SET secure_file_priv = '/tmp/no-such-folder'", "SELECT LOAD_FILE('/tmp/no-such-folder/x') IS NULL AS none, LOAD_FILE('/etc/hostname') IS NULL AS outside")
 script("sql_warnings", "SELECT 'Warning' AS level, CAST(1062 AS INT) AS code, '2 of 3 rows ignored: duplicate entry or no parent' AS message", "CREATE TABLE u (k INT PRIMARY KEY)", "INSERT IGNORE INTO u VALUES (1), (1), (1)", "SHOW WARNINGS")
+# --- the public decision-support statements that these tables can answer --------------------------------------
+
+_TPCH = {
+    "q1": ("SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty, ROUND(SUM(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 1) AS sum_charge, ROUND(AVG(l_discount), 6) AS avg_disc, COUNT(*) AS count_order FROM lineitem WHERE l_shipdate <= {ts} '1998-09-02' GROUP BY l_returnflag, l_linestatus", ""),
+    "q3": ("SELECT l_orderkey, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < {ts} '1995-03-15' AND l_shipdate > {ts} '1995-03-15' GROUP BY l_orderkey, o_orderdate", " ORDER BY revenue DESC, l_orderkey LIMIT 10"),
+    "q4": ("SELECT o_orderpriority, COUNT(*) AS order_count FROM orders WHERE o_orderdate >= {ts} '1993-07-01' AND o_orderdate < {ts} '1995-10-01' AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) GROUP BY o_orderpriority", ""),
+    "q5": ("SELECT n_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' GROUP BY n_name", ""),
+    "q6": ("SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= {ts} '1994-01-01' AND l_shipdate < {ts} '1995-01-01' AND l_discount BETWEEN 0.05e0 AND 0.07e0 AND l_quantity < 24", ""),
+    "q7": ("SELECT supp_nation, cust_nation, l_year, ROUND(SUM(volume) + 0.00001e0, 2) AS revenue FROM (SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(YEAR(l_shipdate) AS {int}) AS l_year, l_extendedprice * (1 - l_discount) AS volume FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_regionkey <> n2.n_regionkey) AS shipping GROUP BY supp_nation, cust_nation, l_year", ""),
+    "q10": ("SELECT c_custkey, c_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, n_name", " ORDER BY revenue DESC, c_custkey LIMIT 20"),
+    "q13": ("SELECT c_count, COUNT(*) AS custdist FROM (SELECT c_custkey, COUNT(o_orderkey) AS c_count FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY c_custkey) AS c_orders GROUP BY c_count", ""),
+    "q14": ("SELECT ROUND(100.00e0 * SUM(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / SUM(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey", ""),
+    "q15": ("WITH revenue AS (SELECT l_suppkey AS supplier_no, SUM(l_extendedprice * (1 - l_discount)) AS total_revenue FROM lineitem GROUP BY l_suppkey) SELECT s_suppkey, s_name, ROUND(total_revenue, 2) AS total_revenue FROM supplier, revenue WHERE s_suppkey = supplier_no AND total_revenue >= (SELECT MAX(total_revenue) - 0.001 FROM revenue)", ""),
+    "q17": ("SELECT ROUND(SUM(l_extendedprice) / 7.0, 4) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_size < 20 AND l_quantity < (SELECT 0.5e0 * AVG(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)", ""),
+    "q18": ("SELECT c_name, o_orderkey, ROUND(SUM(l_quantity), 2) AS qty FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING SUM(l_quantity) > 150) AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_name, o_orderkey", " ORDER BY qty DESC, o_orderkey LIMIT 100"),
+    "q19": ("SELECT ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part WHERE (p_partkey = l_partkey AND p_size BETWEEN 1 AND 15 AND l_quantity BETWEEN 1 AND 11) OR (p_partkey = l_partkey AND p_size BETWEEN 20 AND 30 AND l_quantity BETWEEN 10 AND 20)", ""),
+    "q21": ("SELECT s_name, COUNT(*) AS numwait FROM supplier, lineitem l1, orders WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND EXISTS (SELECT * FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT * FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_quantity > 45) GROUP BY s_name", " ORDER BY numwait DESC, s_name LIMIT 100"),
+    "q22": ("SELECT c_nationkey, COUNT(*) AS numcust, ROUND(SUM(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) GROUP BY c_nationkey", ""),
+}
+for _name, (_text, _tail) in _TPCH.items():
+    script(f"tpch_sql_{_name}", (_text + _tail).replace("{ts}", "TIMESTAMP").replace("{int}", "BIGINT"), (_text + _tail).replace("{ts}", "TIMESTAMP").replace("{int}", "SIGNED"))
+
 # --- definitions and data changes ---------------------------------------------------------------------------
 
 _copy = "CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR(30), r INT)", "INSERT INTO t SELECT n_nationkey, n_name, n_regionkey FROM nation"
