@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, *statements: str) -> Engine:
+    """A session that has the tables which the statements name."""
     e = Engine(prepare(spark))
+    named = set(re.findall(r"\w+", " ".join(statements).lower()))
     for n in TABLES:
-        e.register(n, table(spark, sf_dir, n))
+        if n in named:
+            e.register(n, table(spark, sf_dir, n))
     return e
 
 
@@ -24,7 +28,7 @@ def script(name: str, expected: str, *statements: str, setup: Callable[[Engine],
     """Statements run one after another in a session; the last one's rows are the query's."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = engine(spark, sf_dir)
+        e = engine(spark, sf_dir, *statements)
         if setup:
             setup(e)
         out = None
@@ -238,7 +242,7 @@ def _refused(e: Engine, *statements: str) -> None:
 
 def refused(name: str, expected: str, before: tuple, statements: tuple, last: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = engine(spark, sf_dir)
+        e = engine(spark, sf_dir, *before, *statements, last)
         for s in before:
             e.sql(s)
         _refused(e, *statements)
@@ -339,7 +343,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..operators.recursive import checkpoint_dir
 
-    e = engine(spark, sf_dir)
+    e = engine(spark, sf_dir, "nation")
     checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4()}"
     e.sql(f"SELECT n_nationkey, n_name, NULLIF(n_regionkey, 1) FROM nation INTO OUTFILE '{path}/a' FIELDS TERMINATED BY ',' ENCLOSED BY '\"'")
