@@ -121,10 +121,11 @@ def insert(table: DataFrame, rows: DataFrame, key: list | None = None, mode: str
     if not keys:
         return table.unionByName(plain)
     if mode == "error":
-        out = table.unionByName(plain)
-        for k in keys:
-            check_unique(out, k)
-        return out
+        for i, k in enumerate(keys):  # the table's own rows are unique already: only new ones are looked at
+            check_unique(plain, k)
+            if not plain.alias("new").where(_filled("new.", k)).join(table.alias("old"), _same(keys, i), "left_semi").isEmpty():
+                raise ConstraintError(f"duplicate key {k}")
+        return table.unionByName(plain)
     rows = written(rows)
     if mode == "replace":
         kept = rows.withColumn("_last", _place(rows, keys, True)).where("_last").select(*table.columns)
