@@ -717,23 +717,6 @@ def mixing_words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
-def brute_targets(total, weights=(3, 1, 2), share=1.5, cap=2.0):
-    """Water filling: shares by weight, the excess over a source's cap shared again until none is above."""
-    names = sorted(total, key=lambda s: (s is None, s or ""))
-    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, open_, out = share * sum(total.values()), set(names), {}
-    while open_:
-        level = left / sum(w[s] for s in open_)
-        full = {s for s in open_ if level * w[s] > cap * total[s]}
-        if not full:
-            return out | {s: level * w[s] for s in open_}
-        for s in full:
-            out[s] = cap * total[s]
-            left -= out[s]
-        open_ -= full
-    return out
-
-
 def test_screen_of_many_tiles_equals_brute_force():
     """Members that have a near partner, for tiles of one block and of two."""
     rng = np.random.default_rng(6)
@@ -750,3 +733,38 @@ def test_screen_of_many_tiles_equals_brute_force():
 def test_embeddings_of_an_empty_table(spark):
     v = spark.createDataFrame([], "vec_id long, embedding array<float>, caps int, `row` string")
     assert cap_dedup.near_duplicates(v).count() == 0
+
+
+def test_bpe_pieces_agree_however_they_are_run(codec):
+    """A piece's ids are the same the first time, again when its arcs are determinised, and streamed; short or long."""
+    rng = random.Random(12)
+    fresh = bpe.MergeTransducer(codec.fst.ranks)
+    for _ in range(150):
+        piece = bytes(rng.choice(b"abcdeflnorst \xc3\xa9") for _ in range(rng.choice([1, 5, 30, 63, 64, 65, 200])))
+        once = fresh.piece(piece)
+        assert once == fresh.piece(piece) == fresh.piece(piece)
+        assert fresh.ranks.get(piece) is not None or once == list(fresh.stream([piece]))
+
+
+def test_warc_cut_short_is_an_error(tmp_path, monkeypatch):
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 50\r\n\r\n" + b"x" * 50 + b"\r\n\r\n"
+    monkeypatch.setattr(warc, "MOST_HEAD", 1 << 12)
+    for data, payload in ((record[:-30], True), (record[:-30], False), (b"WARC/1.0\r\nA: " + b"y" * 9000, True)):
+        p = tmp_path / "a.warc"
+        p.write_bytes(data)
+        where, path = warc.open_fs(str(p))
+        with where.open_input_file(path) as f, pytest.raises(ValueError, match="byte 0"):
+            list(warc.read_records(f, lambda h: True, payload))
+
+
+def test_warc_edges(spark):
+    """Null ids, repeats of the smallest id, an empty table, clashing columns."""
+    pages = spark.createDataFrame([(None, "u", "a", 1), (2, "v", "a", 1), (2, "w", "a", 1), (None, None, "b", 1)], "page_id long, url string, html string, sha int")
+    path = warc.archive_dir(spark)
+    warc.write_pages(pages, path)
+    got = sorted((r.page_id or -1, r.record_type, r.refers_to) for r in warc.read_pages(spark, path).collect())
+    assert got == [(-1, "response", None), (-1, "revisit", 2), (2, "response", None), (2, "response", None)]
+    warc.remove(path)
+    path = warc.archive_dir(spark)
+    warc.write_pages(pages.limit(0), path)
+    assert warc.read_pages(spark, path).count() == 0

@@ -41,6 +41,10 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file:///") else "file://" + uri[5:])
 
 
+#: A record's header has at most so many bytes.
+MOST_HEAD = 1 << 20
+
+
 def pack_record(headers: list[tuple[str, str]], payload: bytes) -> bytes:
     """One record as a gzip member with its skip lengths.  Line breaks in header values become spaces."""
     head = "".join(f"{k}: {' '.join(v.splitlines()) if v else ''}\r\n" for k, v in [*headers, ("Content-Length", str(len(payload)))])
@@ -79,11 +83,13 @@ def _plain_record(f, start, step, wanted, with_payload):
     buf = b""
     while (end := buf.find(b"\r\n\r\n")) < 0:
         more = f.read(step)
-        if not more:
+        if not more or len(buf) > MOST_HEAD:
             raise ValueError(f"a record header at byte {start} has no end")
         buf += more
     head = _parse_head(buf[:end])
     n = int(head.get("Content-Length") or 0)
+    if start + end + 4 + n > f.size():
+        raise ValueError(f"the record at byte {start} is cut short")
     f.seek(start + end + 4)
     if wanted(head):
         yield head, f.read(n) if with_payload else None
@@ -105,7 +111,7 @@ def _gzip_member(f, start, step, wanted, with_payload):
     buf = b""
     while (end := buf.find(b"\r\n\r\n")) < 0 and not z.eof:
         data = z.unconsumed_tail or f.read(4096)
-        if not data:
+        if not data or len(buf) > MOST_HEAD:
             raise ValueError(f"a gzip member at byte {start} has no end")
         buf += z.decompress(data, 4096)
     head = _parse_head(buf[:end] if end >= 0 else buf)
