@@ -299,19 +299,16 @@ def write_pages(pages: DataFrame, path: str) -> None:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The archives' records back as pages: page_id, payload_bytes, payload_digest, record_type, refers_to, from headers.
 
-    A response's payload is read and its length and digest are taken from its
-    bytes; a revisit's come from its header.
+    One scan: a response's length and digest are taken from its bytes, a
+    revisit's, which has none, from its header.
     """
     register(spark)
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
-    responses = spark.read.format("warc").load(path).where("record_type = 'response'")
-    responses = responses.select("record_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    revisits = spark.read.format("warc").option("payload", "false").load(path).where("record_type = 'revisit'")
-    revisits = revisits.select(
-        "record_id", "record_type", "refers_to", F.col("headers")["X-Payload-Length"].cast("long").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest")
-    )
-    both = responses.union(revisits)
-    return both.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+    r = spark.read.format("warc").load(path).where("record_type in ('response', 'revisit')")
+    again = F.col("record_type") == "revisit"
+    size = F.when(again, F.col("headers")["X-Payload-Length"].cast("long")).otherwise(F.length("payload").cast("long"))
+    digest = F.when(again, F.substring_index("payload_digest", ":", -1)).otherwise(base32(F.sha1("payload")))
+    return r.select(number(F.col("record_id")).alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 
 def archive_dir(spark: SparkSession) -> str:
