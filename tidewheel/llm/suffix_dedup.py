@@ -38,9 +38,9 @@ from ._util import cut, parts, tidy, tidy_group
 LENGTH, GRAM, SHALLOW = 200, 64, 24
 #: Occurrences from which an anchor is split by window; bytes of text hashed at a time; anchors held before packing;
 #: bytes of a document hashed at once.
-HOT, CHUNK, FLUSH, MOST = 256, 1 << 20, 1 << 20, 1 << 24
-#: Where counts stop: well above ``HOT``, and what is asked of them is whether they reach 2 or ``HOT``.
-MANY = (1 << 16) - 1
+HOT, CHUNK, FLUSH, MOST = 255, 1 << 20, 1 << 20, 1 << 24
+#: Where counts stop, to be a byte: all that is asked of them is whether they reach 2 or ``HOT``.
+MANY = 255
 
 #: Two hash functions: values of bytes, and odd multipliers.
 _TABLES = [(np.frombuffer(hashlib.shake_128(b"byte values" + x).digest(2048), np.uint64), np.frombuffer(hashlib.shake_128(b"multipliers" + x).digest(128), np.uint64) | np.uint64(1)) for x in (b"", b" again")]
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
             at = np.flatnonzero(new)
-            n = np.minimum(np.diff(np.append(at, len(h))), MANY).astype(np.uint16)
+            n = np.minimum(np.diff(np.append(at, len(h))), MANY).astype(np.uint8)
             names, (a, b, c) = _pack((_mix(h[at]) % np.uint64(n_keys)).astype(np.int64), h[at], r[at].astype(np.int32), n)
             hashes.clear(), rows.clear()
             held = 0
@@ -321,7 +321,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             yield flush()
 
     def match(table):
-        h, r, n = _numbers(table.column("hashes"), np.uint64), _numbers(table.column("rows"), np.int32), _numbers(table.column("counts"), np.uint16)
+        h, r, n = _numbers(table.column("hashes"), np.uint64), _numbers(table.column("rows"), np.int32), _numbers(table.column("counts"), np.uint8)
         u, inv = np.unique(h, return_inverse=True)
         total = np.bincount(inv, n, len(u))
         again = total[inv] >= 2
