@@ -35,6 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+#: Rows of an Arrow batch, at most: a batch of whole texts is in memory some times over, on both sides of the pipe.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _LEAN: list = []
 
 

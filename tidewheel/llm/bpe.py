@@ -27,11 +27,11 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import tidy
+from ._util import small_batches, tidy
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bounds of the lazily filled tables; beyond them a table starts anew.
-MAX_ARCS, MAX_WORDS, MAX_PAIRS = 1 << 18, 1 << 19, 1 << 18
+MAX_ARCS, MAX_WORDS, MAX_PAIRS = 1 << 18, 1 << 18, 1 << 18
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -230,7 +230,7 @@ class MergeTransducer:
             key = state << 8 | c
             if (arc := arcs.get(key)) is None:
                 if key not in self.wanted:
-                    if len(self.wanted) >= 4 * MAX_ARCS:
+                    if len(self.wanted) >= MAX_ARCS:
                         self.wanted.clear()
                     self.wanted.add(key)
                     last, _, at, starts, tokens = self.states[state]
@@ -383,6 +383,7 @@ def encode_documents(
     import pyarrow as pa
 
     spark = docs.sparkSession
+    small_batches(spark)
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids

@@ -35,12 +35,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import connected_components, cut, parts, tidy, tidy_group
+from ._util import connected_components, cut, parts, small_batches, tidy, tidy_group
 
 #: Bounds of a tile's block.
 BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 21
 #: Keys held before they are written out, and sizes' ratio between bands.
-FLUSH_KEYS, BAND = 1 << 20, 1.5
+FLUSH_KEYS, BAND = 1 << 19, 1.5
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -434,6 +434,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool =
     import pyarrow as pa
 
     num, den = percent, 100
+    small_batches(docs.sparkSession)
     sets = cut(_sets(docs, n, num, den, parts(docs.sparkSession, 4)))
     classes = sets.where("digest is not null and doc_id is not null").groupBy("digest")
     classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), *[F.first(c, True).alias(c) for c in ("mark", "least", "bitmap")]))

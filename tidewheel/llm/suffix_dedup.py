@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, parts, tidy, tidy_group
+from ._util import cut, parts, small_batches, tidy, tidy_group
 
 LENGTH, GRAM, SHALLOW = 200, 64, 24
 #: Occurrences from which an anchor is split by window; bytes of text hashed at a time; anchors held before packing;
@@ -287,6 +287,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     import pyarrow as pa
 
     spark = docs.sparkSession
+    small_batches(spark)
     n_rows, n_keys = parts(spark, 2), parts(spark)
     base = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("whole")] if keep_text else []), F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("data"))
     base = base.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "data"), F.lit(n_rows)).cast("int"))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import tidy
+from ._util import small_batches, tidy
 
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE = 20_000
@@ -93,21 +93,23 @@ def pair_terms(row: np.ndarray, at: np.ndarray, df: np.ndarray, y: np.ndarray, m
     inside = place[at] >= 0
     row, at = row[inside], place[at[inside]]
     both, bad = np.zeros((len(top), len(top)), np.float32), np.zeros((len(top), len(top)), np.float32)
-    for lo in range(0, len(y), 4096):
-        here = (row >= lo) & (row < lo + 4096)
-        x = np.zeros((min(4096, len(y) - lo), len(top)), np.float32)
+    for lo in range(0, len(y), 1024):
+        here = (row >= lo) & (row < lo + 1024)
+        x = np.zeros((min(1024, len(y) - lo), len(top)), np.float32)
         x[row[here] - lo, at[here]] = 1
         both += x.T @ x
-        bad += x.T @ (x * y[lo : lo + 4096, None].astype(np.float32))
+        x = x[y[lo : lo + 1024] > 0]
+        bad += x.T @ x
     share = y.mean()
     odds = lambda p: np.log(p / (1 - p))
-    n = np.diag(both)
-    own = odds((np.diag(bad) + share) / (n + 1)) - odds(share)
-    expected = 1 / (1 + np.exp(-(odds(share) + own[:, None] + own)))
-    error = np.sqrt(both * expected * (1 - expected) + 1)
-    tells = (np.abs(bad - both * expected) > z * error) & (both >= 8)
-    np.fill_diagonal(tells, False)
-    out[top[tells.any(1)]] = True
+    own = odds((np.diag(bad) + share) / (np.diag(both) + 1)) - odds(share)
+    for lo in range(0, len(top), 256):
+        hi = min(lo + 256, len(top))
+        expected = 1 / (1 + np.exp(-(odds(share) + own[lo:hi, None] + own)))
+        error = np.sqrt(both[lo:hi] * expected * (1 - expected) + 1)
+        tells = (np.abs(bad[lo:hi] - both[lo:hi] * expected) > z * error) & (both[lo:hi] >= 8)
+        tells[np.arange(hi - lo), np.arange(lo, hi)] = False
+        out[top[lo:hi][tells.any(1)]] = True
     return out
 
 
@@ -186,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     lab = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("l_doc_id"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.groupBy("l_doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.select("l_doc_id", "toxic", F.xxhash64("l_doc_id").alias("h")).orderBy("h", "l_doc_id").limit(sample)
@@ -213,6 +216,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     import pyarrow as pa
 
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     at = next(i for i, c in enumerate(kept) if c.lower() == "text")
