@@ -768,3 +768,30 @@ def test_warc_edges(spark):
     path = warc.archive_dir(spark)
     warc.write_pages(pages.limit(0), path)
     assert warc.read_pages(spark, path).count() == 0
+
+
+def test_pipeline_stages_on_edge_cases(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, n int, `my col` string, _rank int, gone_id long"
+    more = (0.5, "d", 1, "m", 2, 3)
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(20_000))
+    rows = [(None,) * 11, (1, None, None, None, None, *more), (2, "", "en", "a", 0, *more), (3, long, "en", "a", 1, *more), (4, "just some words of a short text", "en", None, 2, *more), (4, "just some words of a short text", "en", None, 2, *more), (None, "words without an id stay here", "en", "b", 3, *more)]
+    spark.createDataFrame([(3, 1, 0), (4, 1, 0), (None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r["my col"] in ("m", None) for r in got)
+        if name in ("toxicity", "suffix-array dedup"):
+            assert len(got) == len(rows)
+        elif name == "n-gram Jaccard join":
+            assert len(got) == len(rows) - 1  # the repeated row
+        else:
+            assert {r.doc_id for r in got} <= {3, 4, None}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.count() == len(rows) and last.where("n_tokens = 0").count() == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
