@@ -198,8 +198,8 @@ def mixed_documents(docs: DataFrame, shards: int = 16, weights: tuple = WEIGHTS,
     drawn = F.sort_array(F.collect_list(F.struct("shard", "place", "copy"))).alias("t_draws")
     taken = draws(blocks, seed).groupBy("doc_id", "sid").agg(drawn).join(sources.select("sid", "source"), "sid")
     taken = taken.select(F.col("doc_id").alias("t_doc_id"), F.col("source").alias("t_source"), "t_draws")
-    # a document's own columns stay in a struct, so their names can't clash with those needed here
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").alias("o_doc_id"), F.col("source").cast("string").alias("o_source"), F.col("text").cast("string").alias("o_text"))
+    # a document's own columns stay in a struct, so their names can't clash with those needed here; its text is ordered by hash
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").alias("o_doc_id"), F.col("source").cast("string").alias("o_source"), F.xxhash64(F.col("text").cast("string")).alias("o_text"))
     kept = own.join(taken, F.col("o_doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("o_source").eqNullSafe(F.col("t_source")))
     same = Window.partitionBy("o_doc_id", "o_source")
     kept = kept.withColumn("o_rank", F.row_number().over(same.orderBy("o_text")) - 1).withColumn("o_rows", F.count(F.lit(1)).over(same))
