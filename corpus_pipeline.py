@@ -42,7 +42,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     # ids repeat: rows are told apart by id and digest
     best = joined.where("doc_id is not null and digest is not null").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
-    marked = ngram_join.with_digests(own, n=5)
+    marked = ngram_join.with_digests(own, n=5).withColumn("text", F.xxhash64("text"))
     words = F.col("doc_id").isNotNull() & F.col("set_digest").isNotNull()
     one = marked.where(words).join(best, (F.col("doc_id") == F.col("best_id")) & (F.col("set_digest") == F.col("best_digest")), "left_semi")
     one = one.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "set_digest").orderBy("text"))).where("k = 1")
