@@ -57,8 +57,8 @@ def _lean() -> Callable[[], None]:
 
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, 1 << 26)  # fixed thresholds: mapping each block of some MB apart costs a page fault a page
-            libc.mallopt(-1, 1 << 28)
+            libc.mallopt(-3, 1 << 22)  # fixed thresholds: the dynamic ones grow with what is freed
+            libc.mallopt(-1, 1 << 24)
         pa.set_memory_pool(pa.system_memory_pool())
         trim = getattr(libc, "malloc_trim", None)
         _LEAN.append((lambda: trim(0)) if trim else (lambda: None))

@@ -38,7 +38,9 @@ from ._util import cut, parts, small_batches, tidy, tidy_group
 LENGTH, GRAM, SHALLOW = 200, 64, 24
 #: Occurrences from which an anchor is split by window; bytes of text hashed at a time; anchors held before packing;
 #: bytes of a document hashed at once.
-HOT, CHUNK, FLUSH, MOST = 255, 1 << 20, 1 << 20, 1 << 24
+HOT, CHUNK, FLUSH, MOST = 255, 1 << 17, 1 << 20, 1 << 24
+#: Bytes of contexts sorted together.
+SORTED = 1 << 20
 #: Where counts stop, to be a byte: all that is asked of them is whether they reach 2 or ``HOT``.
 MANY = 255
 
@@ -413,7 +415,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         todo.sort(key=lambda x: x[0])
         while lo < len(todo):
             hi, size = lo, 0
-            while hi < len(todo) and (size < CHUNK or todo[hi][0] == todo[hi - 1][0]):
+            while hi < len(todo) and (size < SORTED or todo[hi][0] == todo[hi - 1][0]):
                 size += len(todo[hi][1])
                 hi += 1
             text = b"".join(x[1] for x in todo[lo:hi])
