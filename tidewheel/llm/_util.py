@@ -30,9 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there (reliable checkpoint, never a local one)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
+    """Write ``df`` to the shared folder and go on from there (reliable checkpoint, never a local one).
+
+    Shuffle files go when nothing refers to their plan any more, which Spark
+    learns at a collection of the driver's heap: one is asked for here, so that
+    disk is that of the steps since the last cuts, not of when memory ran short.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 #: Rows of an Arrow batch, at most: a batch of whole texts is in memory some times over, on both sides of the pipe.
