@@ -795,3 +795,45 @@ def test_pipeline_stages_on_edge_cases(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert last.count() == len(rows) and last.where("n_tokens = 0").count() == 3
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_workers_drop_tables_of_other_operators():
+    """A worker's next operator doesn't carry the last one's tables along; tasks of the same one share them."""
+
+    def run(table):
+        return table
+
+    run.__module__ = bpe.__name__
+    bpe._CODECS["some"] = "tables"
+    assert _util.tidy_group(run)(1) == 1 and bpe._CODECS == {"some": "tables"}
+    run.__module__ = suffix_dedup.__name__
+    assert _util.tidy_group(run)(1) == 1 and bpe._CODECS == {}
+    bpe._CODECS["some"] = "tables"
+    assert list(_util.tidy(run)([2])) == [2] and bpe._CODECS == {}
+
+
+@pytest.mark.parametrize("name", ["collect", "cover"])
+def test_hot_windows_are_digested_in_stretches(monkeypatch, name):
+    """Memory for the windows of hot anchors doesn't follow the bucket's size."""
+    real, most = suffix_dedup._window_digests, 40_000
+
+    def bounded(found):
+        if sum(map(len, found)) > most:
+            raise MemoryError(f"windows of {sum(map(len, found))} bytes at once")
+        return real(found)
+
+    monkeypatch.setattr(suffix_dedup, "DIGESTED", most - 2 * suffix_dedup.LENGTH, raising=False)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(2_000)
+    found = [(i, 0, (text(40) + passage)[at : at + 300].encode()) for i in range(60) for at in range(0, 1_700, 60)]
+    monkeypatch.setattr(suffix_dedup, "_window_digests", bounded)
+    whole, n = real([x[-1] for x in found])
+    if name == "collect":
+        want = suffix_dedup._distinct(whole)
+        got = suffix_dedup._distinct_windows(iter(found))
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    else:
+        parts = list(suffix_dedup._digested(iter(found)))
+        assert [y for x, _, _ in parts for y in x] == found and len(parts) > 1
+        assert (np.concatenate([w for _, w, _ in parts]) == whole).all() and (np.concatenate([k for _, _, k in parts]) == n).all()

@@ -75,12 +75,34 @@ def _lean() -> Callable[[], None]:
     return _LEAN[0]
 
 
+#: Tables that a worker keeps from task to task, by the module that fills them.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_tables(owner: str) -> dict:
+    """A table of module ``owner`` that lasts from task to task, until the worker gets a task of another module."""
+    return _KEPT.setdefault(owner, {})
+
+
+def _begin(owner: str) -> Callable[[], None]:
+    """What a task does first: workers are used again, so tables that other modules left in this one go; returns a trim."""
+    trim = _lean()
+    left = [x for name, x in _KEPT.items() if name != owner and x]
+    for x in left:
+        x.clear()
+    if left:
+        trim()
+    return trim
+
+
 def tidy(run: Callable) -> Callable:
     """A task's function over Arrow batches that gives freed memory back to the system when it ends, as workers are used again."""
 
+    owner = run.__module__
+
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
-        trim = _lean()
+        trim = _begin(owner)
         try:
             yield from run(batches)
         finally:
@@ -94,8 +116,10 @@ def tidy(run: Callable) -> Callable:
 def tidy_group(run: Callable) -> Callable:
     """The same for a function of a group: Spark counts its parameters, one or two."""
 
+    owner = run.__module__
+
     def call(*tables):
-        trim = _lean()
+        trim = _begin(owner)
         try:
             return run(*tables)
         finally:

@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import small_batches, tidy
+from ._util import kept_tables, small_batches, tidy
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bounds of the lazily filled tables; beyond them a table starts anew.
@@ -355,7 +355,7 @@ class Codec:
         return "".join(map(machine.feed, self.decode_chunks(ids))) + machine.finish()
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+_CODECS: dict[tuple[int, str], Codec] = kept_tables(__name__)
 
 
 def _codec(raw: bytes, pattern: str) -> Codec:

@@ -27,7 +27,7 @@ pair of buckets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,8 +39,8 @@ LENGTH, GRAM, SHALLOW = 200, 64, 24
 #: Occurrences from which an anchor is split by window; bytes of text hashed at a time; anchors held before packing;
 #: bytes of a document hashed at once.
 HOT, CHUNK, FLUSH, MOST = 255, 1 << 17, 1 << 20, 1 << 24
-#: Bytes of contexts sorted together.
-SORTED = 1 << 20
+#: Bytes of contexts sorted together; of contexts whose windows are digested at a time.
+SORTED, DIGESTED = 1 << 20, 1 << 18
 #: Where counts stop, to be a byte: all that is asked of them is whether they reach 2 or ``HOT``.
 MANY = 255
 
@@ -240,6 +240,35 @@ def _distinct(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarr
     return x[new], times.astype(np.int64)
 
 
+def _digested(found: Iterable[tuple]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Tuples that end with a context in lists of about ``DIGESTED`` bytes of them, each with the digests of its windows and their numbers."""
+    held, size = [], 0
+    for x in found:
+        held.append(x)
+        size += len(x[-1])
+        if size >= DIGESTED:
+            yield held, *_window_digests([x[-1] for x in held])
+            held, size = [], 0
+    if held:
+        yield held, *_window_digests([x[-1] for x in held])
+
+
+def _distinct_windows(found: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct digests of the windows of such tuples' contexts, and how often each occurs; merged as they come."""
+    done, held, size = (np.empty(0, DIGEST), np.empty(0, np.int64)), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return _distinct(*(np.concatenate(x) for x in zip(done, *held, strict=True)))
+
+    for _, w, _ in _digested(found):
+        held.append(_distinct(w))
+        size += len(held[-1][0])
+        if size >= max(len(done[0]), DIGESTED):
+            done = merged()
+            held, size = [], 0
+    return merged()
+
+
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which digests are in ``known``, sorted and distinct."""
     out = np.zeros(len(x), bool)
@@ -354,22 +383,25 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         wanted, hot = _numbers(left.column("hashes"), np.uint64), _numbers(left.column("hot"), np.uint8)
         order = np.argsort(wanted)
         wanted, hot = wanted[order], hot[order]
-        out, split = {}, []
+        out = {}
         me = int((left if left.num_rows else right).column("bucket")[0].as_py())
-        for _, _, _, h, is_hot, context in contexts(right.column("data").to_pylist() if right.num_rows else [], wanted, hot):
-            if is_hot:
-                split.append(context)
-            else:
-                out[h, context] = out.get((h, context), 0) + 1
+
+        def split() -> Iterator[tuple[bytes]]:
+            for _, _, _, h, is_hot, context in contexts(right.column("data").to_pylist() if right.num_rows else [], wanted, hot):
+                if is_hot:
+                    yield (context,)
+                else:
+                    out[h, context] = out.get((h, context), 0) + 1
+
+        w, times = _distinct_windows(split())
         rows = []
         by: dict[int, list] = {}
         for (h, context), n in out.items():
             by.setdefault(h % n_keys, []).append((h, context, n))
         for k, xs in by.items():
             rows.append((k, 0, me, np.array([x[0] for x in xs], np.uint64).tobytes(), np.array([len(x[1]) for x in xs], np.int32).tobytes(), np.minimum([x[2] for x in xs], 255).astype(np.uint8).tobytes(), b"".join(x[1] for x in xs)))
-        if split:
-            w, n = _distinct(_window_digests(split)[0])
-            names, (a, b) = _pack((_mix(w["a"]) % np.uint64(n_keys)).astype(np.int64), w, np.minimum(n, 2).astype(np.uint8))
+        if len(w):
+            names, (a, b) = _pack((_mix(w["a"]) % np.uint64(n_keys)).astype(np.int64), w, np.minimum(times, 2).astype(np.uint8))
             rows += [(k, 1, me, x, None, y, None) for k, x, y in zip(names, a, b, strict=True)]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         cols = [*zip(*rows, strict=True)] or [[]] * 7
@@ -468,18 +500,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         wanted, hot, windows = wanted[order], hot[order], _distinct(np.concatenate(windows))[0]
         texts = right.column("data").to_pylist()
         marks: dict[int, list[np.ndarray]] = {}
-        split: list[tuple[int, int, bytes]] = []
-        for doc, at, n, _, is_hot, context in contexts(texts, wanted, hot):
-            if is_hot:
-                split.append((doc, at, context))
-                continue
-            if (bits := mask_of.get(_digest(context))) is not None:
-                m = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-                marks.setdefault(doc, []).append(at + np.flatnonzero(m))
-        if split and len(windows):
-            w, n = _window_digests([x[2] for x in split])
+
+        def split() -> Iterator[tuple[int, int, bytes]]:
+            for doc, at, n, _, is_hot, context in contexts(texts, wanted, hot):
+                if is_hot:
+                    yield doc, at, context
+                elif (bits := mask_of.get(_digest(context))) is not None:
+                    m = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+                    marks.setdefault(doc, []).append(at + np.flatnonzero(m))
+
+        for those, w, n in _digested(split()):
             m = _among(w, windows)
-            for (doc, at, _), e, size in zip(split, np.cumsum(n).tolist(), n.tolist(), strict=True):
+            for (doc, at, _), e, size in zip(those, np.cumsum(n).tolist(), n.tolist(), strict=True):
                 if m[e - size : e].any():
                     marks.setdefault(doc, []).append(at + np.flatnonzero(m[e - size : e]))
         n_bytes, removed, spans, sha, kept = [], [], [], [], []
