@@ -56,3 +56,63 @@ def test_pairs_of_equal_keys_are_counted_without_being_made(pairs):
 )
 def test_counts_of_joins(pairs, query, want):
     assert sorted(map(tuple, pairs.sql(query).collect())) == sorted(want)
+
+
+@pytest.fixture
+def customers(spark, tmp_path):
+    """A table of one file with one group of rows, as most writers leave it."""
+    e = Engine(spark)
+    spark.range(0, 50_000, 1, 1).selectExpr("id AS k", "CAST(id % 25 AS INT) AS n", "uuid() AS name").write.parquet(str(tmp_path / "customers"))
+    e.register("customers", spark.read.parquet(str(tmp_path / "customers")))
+    return e
+
+
+def arrow_nodes(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(customers, spark):
+    assert spark.table("customers").rdd.getNumPartitions() == 1
+    df = customers.sql("SELECT k, ST_X(POINT(k, n)) AS x FROM customers WHERE k >= 0")
+    sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= 8 and max(sizes) < 50_000 / 4 and sum(sizes) == 50_000
+    assert df.selectExpr("count(DISTINCT k)", "max(abs(x - k))").first() == (50_000, 0.0)
+    qualified = customers.sql("SELECT customers.k, c2.n FROM customers JOIN customers c2 ON customers.k = c2.k WHERE ST_Y(POINT(customers.k, c2.n)) = 3")
+    assert qualified.count() == 2_000
+    named = customers.sql("WITH t AS (SELECT k, n FROM customers WHERE k < 10) SELECT t.k, ST_ASTEXT(POINT(t.n, 0)) AS p, (SELECT MAX(ST_X(POINT(c.n, 1))) FROM customers c) AS m FROM t WHERE t.k = 7")
+    assert [tuple(r) for r in named.collect()] == [(7, "POINT(7 0)", 24.0)]
+    assert customers.sql("SELECT ST_X(POINT(customers.k, 1)) AS x FROM customers ORDER BY customers.k DESC LIMIT 2").collect() == [(49_999.0,), (49_998.0,)]
+
+
+def test_functions_within_functions_go_to_python_once(customers):
+    df = customers.sql("SELECT k, ST_ASTEXT(ST_SWAPXY(ST_X(POINT(k, n), 1))) AS p, JSON_EXTRACT(JSON_OBJECT('k', k, 'v', JSON_ARRAY(n, 2)), '$.v[0]') AS v, ST_ASTEXT(LINESTRING(POINT(0, 0), POINT(k, n))) AS l FROM customers WHERE k < 3")
+    assert arrow_nodes(df) == 1
+    assert sorted(map(tuple, df.collect())) == [(k, f"POINT({k} 1)", str(k), f"LINESTRING(0 0,{k} {k})") for k in range(3)]
+
+
+def test_functions_of_literals_run_once(customers):
+    df = customers.sql("SELECT ST_AREA(ST_GEOMFROMTEXT('POLYGON((0 0,4 0,4 4,0 4,0 0))')) AS a, ST_ASTEXT(ST_POINTN(LINESTRING(POINT(0, -1.5), POINT(3, 4)), 1)) AS p, JSON_LENGTH('[1, 2]') AS n, JSON_EXTRACT('not json', '$') AS bad, ST_ISEMPTY(NULL) AS nothing, JSON_PRETTY('[\"it''s\\\\n\"]') AS t FROM customers LIMIT 1")
+    assert arrow_nodes(df) == 0
+    assert df.collect() == [(16.0, "POINT(0 -1.5)", 2, None, None, '[\n  "it\'s\\n"\n]')]
+    assert df.schema.simpleString() == "struct<a:double,p:string,n:int,bad:string,nothing:boolean,t:string>"
+    assert customers.sql("SELECT COUNT(DISTINCT HEX(RANDOM_BYTES(8))) AS n FROM customers").first()[0] == 50_000
+
+
+def test_what_may_not_be_settled_before_the_run(customers):
+    with pytest.raises(Exception, match="SRID 0"):
+        customers.sql("SELECT ST_LENGTH(LINESTRING(POINT(0, 0), POINT(3, 4)), 'metre')").collect()
+    calls = []
+    customers.register_function("counted", lambda x: calls.append(x) or f"{x}!")
+    assert customers.sql("SELECT COUNTED('a') AS v FROM customers LIMIT 2").collect() == [("a!",), ("a!",)]
+    assert calls == []
+
+
+def test_steps_keep_types_and_nulls(customers):
+    df = customers.sql("SELECT k, JSON_SET('{}', '$.n', JSON_LENGTH(IF(k = 1, NULL, '[1, 2]'))) AS v, ST_X(ST_POINTN(LINESTRING(POINT(0, 0), POINT(k, 1)), JSON_LENGTH(IF(k = 2, '[1, 2, 3]', '[1, 2]')))) AS x FROM customers WHERE k < 3")
+    assert sorted(map(tuple, df.collect())) == [(0, '{"n": 2}', 0.0), (1, None, 1.0), (2, '{"n": 2}', None)]
+
+
+def test_prepared_values_stay_in_order(customers):
+    customers.sql("PREPARE s FROM 'SELECT ST_ASTEXT(LINESTRING(POINT(?, 0), POINT(?, 0))) AS l FROM customers WHERE k = ?'")
+    customers.sql("SET @a = 1, @b = 2")
+    assert customers.sql("EXECUTE s USING @a, @b, @a").collect() == [("LINESTRING(1 0,2 0)",)]

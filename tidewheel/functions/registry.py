@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -57,30 +59,98 @@ def number(x: Column) -> Column:
     return F.coalesce(F.regexp_extract(text(x), r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1).try_cast("double"), F.when(x.isNotNull(), F.lit(0.0)))
 
 
-def python(f: Callable, returns: str) -> Callable[..., Column]:
-    """A scalar Python function as a pandas UDF over Arrow batches; NULL for any error or if any argument is NULL."""
+#: Types whose values reach another Python function as they were returned.
+_CARRIED = {"string": (str, str), "binary": (bytes, bytes), "double": ((float, int), float), "int": (int, int), "long": (int, int), "boolean": (bool, bool)}
 
-    def run(*cols: pd.Series) -> pd.Series:
-        def one(*row):
-            if any(v is None or v is pd.NaT or (isinstance(v, float) and v != v) for v in row):
-                return None
-            try:
-                return f(*row)
-            except (ValueError, TypeError, KeyError, IndexError, ArithmeticError):
+
+@dataclasses.dataclass(frozen=True)
+class Step:
+    """A Python function in an expression; ``args``: steps within it, or places among the arguments of the whole."""
+
+    f: Callable
+    returns: str
+    args: tuple
+
+    def key(self):
+        return identity(self.f), self.returns, tuple(a.key() if isinstance(a, Step) else a for a in self.args)
+
+
+def identity(f, within: tuple = ()):
+    """Equal for functions that a builder makes anew of the same code and values."""
+    if f in within:  # it calls itself
+        return within.index(f)
+    held = lambda v: identity(v, (*within, f)) if callable(v) else (type(v), v)
+    try:
+        made = f.__module__, f.__code__, f.__defaults__, tuple(held(c.cell_contents) for c in f.__closure__ or ())
+        hash(made)
+    except (AttributeError, TypeError, ValueError):
+        return f
+    return made
+
+
+def carries(returns: str) -> bool:
+    return returns in _CARRIED
+
+
+def fits(v, returns: str) -> bool:
+    """Whether a value is of the type that its function declares, and can stand in a statement's text."""
+    if v is None or not carries(returns):
+        return v is None
+    if not isinstance(v, _CARRIED[returns][0]) or isinstance(v, bool) != (returns == "boolean"):
+        return False
+    if isinstance(v, str):
+        return not re.search(r"[^\S\n\t ]|[\x00-\x08\x0e-\x1f\ud800-\udfff]", v) and "${" not in v
+    return returns not in ("int", "long") or abs(v) < 2 ** (31 if returns == "int" else 63)
+
+
+def evaluator(step: Step, inner: bool = False) -> Callable:
+    """A function of the row of arguments; NULL for any error or if any argument is NULL, at every step."""
+    f, args = step.f, [evaluator(a, True) if isinstance(a, Step) else a for a in step.args]
+    to = _CARRIED[step.returns][1] if inner else None
+    plain = not inner and args == [*range(len(args))]
+    nat = pd.NaT
+
+    def one(row):
+        values = row if plain else [row[a] if a.__class__ is int else a(row) for a in args]
+        for v in values:
+            if v is None or v is nat or (isinstance(v, float) and v != v):
                 return None
+        try:
+            out = f(*values)
+            return out if to is None or out is None else to(out)
+        except (ValueError, TypeError, KeyError, IndexError, ArithmeticError):
+            return None
 
-        return pd.Series([one(*row) for row in zip(*cols, strict=True)], dtype=object)
+    return one
 
-    run.__annotations__ = {}
+
+def batches(step: Step, n: int):
+    """A pandas UDF of ``n`` arguments over Arrow batches."""
     from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
 
+    one = evaluator(step)
+
+    def run(*cols: pd.Series) -> pd.Series:
+        return pd.Series([one(row) for row in zip(*cols, strict=True)], dtype=object)
+
+    run.__annotations__ = {}
+    # one positional parameter an argument, as Spark counts them
+    names = ", ".join(f"a{i}" for i in range(n))
+    scope = {"run": run}
+    exec(f"def call({names}):\n    return run({names})", scope)  # noqa: S102
+    return pandas_udf(scope["call"], step.returns, PandasUDFType.SCALAR)
+
+
+def python(f: Callable, returns: str, pure: bool = True) -> Callable[..., Column]:
+    """A scalar Python function as a pandas UDF over Arrow batches; NULL for any error or if any argument is NULL.
+
+    ``pure``: the same arguments always give the same value, so that it may run once for literals.
+    """
+
     def build(*args: Column) -> Column:
-        # one positional parameter an argument, as Spark counts them
-        names = ", ".join(f"a{i}" for i in range(len(args)))
-        scope = {"run": run}
-        exec(f"def call({names}):\n    return run({names})", scope)  # noqa: S102
+        step = Step(f, returns, tuple(range(len(args))))
         if NAMED is not None:
-            return F.call_function(NAMED.name((f, len(args), returns), lambda: pandas_udf(scope["call"], returns, PandasUDFType.SCALAR)), *args)
-        return pandas_udf(scope["call"], returns, PandasUDFType.SCALAR)(*args)
+            return F.call_function(NAMED.call(step, pure), *args)
+        return batches(step, len(args))(*args)
 
     return build

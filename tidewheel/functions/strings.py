@@ -226,7 +226,7 @@ def is_binary(x):
 
 @fn("random_bytes")
 def random_bytes(n):
-    return python(lambda n: secrets.token_bytes(int(n)) if 1 <= n <= 1024 else None, "binary")(n)
+    return python(lambda n: secrets.token_bytes(int(n)) if 1 <= n <= 1024 else None, "binary", pure=False)(n)
 
 
 @fn("validate_password_strength")
