@@ -3,6 +3,7 @@
 import pytest
 
 from tidewheel.plans.engine import Engine
+from tidewheel.plans.sql_queries import QUERIES
 
 
 @pytest.fixture
@@ -116,3 +117,10 @@ def test_prepared_values_stay_in_order(customers):
     customers.sql("PREPARE s FROM 'SELECT ST_ASTEXT(LINESTRING(POINT(?, 0), POINT(?, 0))) AS l FROM customers WHERE k = ?'")
     customers.sql("SET @a = 1, @b = 2")
     assert customers.sql("EXECUTE s USING @a, @b, @a").collect() == [("LINESTRING(1 0,2 0)",)]
+
+
+@pytest.mark.parametrize("name", ["sql_spatial_measures", "sql_spatial_parts"])
+def test_a_row_of_a_statement_goes_to_python_once(spark, name):
+    df = QUERIES[name](spark, "/root/testdata/sf0.1")
+    assert arrow_nodes(df) == 1
+    assert df.rdd.getNumPartitions() >= 8
