@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidewheel.functions import json as J
 from tidewheel.plans.engine import Engine
 from tidewheel.plans.sql_queries import QUERIES
 
@@ -119,8 +120,13 @@ def test_prepared_values_stay_in_order(customers):
     assert customers.sql("EXECUTE s USING @a, @b, @a").collect() == [("LINESTRING(1 0,2 0)",)]
 
 
-@pytest.mark.parametrize("name", ["sql_spatial_measures", "sql_spatial_parts"])
+@pytest.mark.parametrize("name", ["sql_spatial_measures", "sql_spatial_parts", "sql_json"])
 def test_a_row_of_a_statement_goes_to_python_once(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.1")
     assert arrow_nodes(df) == 1
     assert df.rdd.getNumPartitions() >= 8
+
+
+def test_a_path_is_parsed_once():
+    assert J.parse_path("$.a[1]") is J.parse_path("$.a[1]")
+    assert J.parse_path("$.a[1]") == [("key", "a"), ("at", 1)]
